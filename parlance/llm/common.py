@@ -44,3 +44,14 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     ids = durable(ids.distinct())
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)
+
+
+#: Rows in an Arrow batch, so that a batch of very long documents still fits a Python worker.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that Spark sends to a Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)

@@ -37,7 +37,8 @@ def frequent(digests: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) ->
     """The digests that Misra-Gries counters report as the most frequent: heavy of them at most."""
     part = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("part"))
     sketches = part.agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch"))
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {heavy})").alias("top"))
+    # Grouped by a constant: a partition without rows then has no sketch instead of one without a type, which can't be merged.
+    top = sketches.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {heavy})").alias("top"))
     return [x["item"] for row in top.collect() for x in row["top"] or [] if x["count"] > 1]
 
 
