@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import bpe, exact_dedup, mixing
+from parlance.llm import bpe, exact_dedup, licenses, mixing, quality, token_counts
 
 #: The vocabulary of the token queries; the file stays where its package has it.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,9 +29,25 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scans(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op7_token_counts": op7_token_counts,
+        "op9_license_scans": op9_license_scans,
+        "op10_quality_classifier": op10_quality_classifier,
     }
