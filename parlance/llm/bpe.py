@@ -20,6 +20,7 @@ except that its own ``ids`` and ``n_tokens`` replace columns of these names.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -40,8 +41,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: A run of white space with the text after it.  No piece goes from text to white space, so pieces never cross these.
 BLANK = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-#: Entries that a worker's table of known runs may have before it is emptied.
-KNOWN = 300_000
+#: Entries of a worker's table of known runs; when it is full, it becomes the old table, and the old one goes.
+KNOWN = 400_000
+#: Characters of texts whose unknown words share one trie.
+TOGETHER = 4_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,6 +54,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """run -> its tokens.  A run that isn't known gets a list that is filled in later, and is noted as missing."""
+
+    def __init__(self, old: dict[str, list[int]]):
+        super().__init__()
+        self.old, self.missing = dict(old), []
+
+    def __missing__(self, run: str) -> list[int]:
+        tokens = self.old.get(run)
+        if tokens is None:
+            tokens = []
+            self.missing.append(run)
+        self[run] = tokens
+        return tokens
+
+
 class Bpe:
     """The vocabulary of a byte-level BPE file of the tokenizers library."""
 
@@ -65,7 +84,11 @@ class Bpe:
         self.ids = {raw: n for raw, n in vocab.items() if n not in set(special.values())}
         self.special = special
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.longest = max(map(len, self.ids))
+        #: last two bytes -> lengths of the tokens that end so, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for raw in self.ids:
+            lengths.setdefault(raw[-2:], set()).add(len(raw))
+        self.ending = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items() if len(tail) == 2}
         #: merged pair -> rank; token -> rank of the merge that makes it (-1: a byte), and the halves it is made of.
         self.pair, self.made, self.left, self.right = {}, dict.fromkeys(self.ids.values(), -1), {}, {}
         raw_of = {text: bytes(as_byte[c] for c in text) for text in spec["model"]["vocab"] if all(c in as_byte for c in text)}
@@ -75,7 +98,8 @@ class Bpe:
             self.pair[a, b] = rank
             if self.made[whole] < 0:
                 self.made[whole], self.left[whole], self.right[whole] = rank, a, b
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known({})
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def stays(self, a: int, b: int) -> bool:
         """Whether BPE leaves token b after token a: no merge across their border comes before their own.
@@ -94,51 +118,65 @@ class Bpe:
             else:
                 return True
 
-    def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
+    def walk(self, words: set[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
         """(word, its tokens) of distinct words, in depth-first order of their trie."""
-        ids, bytes_of, stays, longest = self.ids, self.bytes_of, self.stays, self.longest
+        ids, bytes_of, stays, ending, pairs = self.ids, self.bytes_of, self.stays, self.ending, self.pairs
         path, last = b"", [-1]
         for word in sorted(words):
             del last[len(commonprefix((path, word))) + 1 :]
             path = word
             for end in range(len(last), len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = ids.get(word[start:end])
-                    if t is not None and (not start or stays(last[start], t)):
-                        last.append(t)
+                token = ids[word[end - 1 : end]]
+                for size in ending.get(word[end - 2 : end], ()) if end > 1 else ():
+                    t = ids.get(word[end - size : end]) if size <= end else None
+                    if t is None:
+                        continue
+                    if size == end:
+                        token = t
+                        break
+                    pair = last[end - size], t
+                    good = pairs.get(pair)
+                    if good is None:
+                        good = pairs[pair] = stays(*pair)
+                    if good:
+                        token = t
                         break
+                last.append(token)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
                 end -= len(bytes_of[last[end]])
             yield word, tuple(reversed(out))
 
-    def learn(self, runs: set[str]) -> None:
-        """Encode runs that aren't known: all their pieces at once, over one trie."""
-        if len(self.known) + len(runs) > KNOWN:
-            self.known.clear()
-        pieces = {run: [x.encode() for x in PIECES.findall(run)] for run in runs}
-        code = dict(self.walk(set(chain.from_iterable(pieces.values()))))
-        for run, parts in pieces.items():
-            self.known[run] = tuple(chain.from_iterable(code[x] for x in parts))
+    def learn(self, runs: list[str]) -> None:
+        """Fill in the tokens of runs that a table has no tokens for yet: all their unknown pieces over one trie."""
+        if len(self.pairs) > KNOWN:
+            self.pairs.clear()
+        new = [(run, PIECES.findall(run)) for run in runs]
+        code = {raw.decode(): ids for raw, ids in self.walk({x.encode() for _, parts in new for x in parts})}
+        for run, parts in new:
+            self.known[run].extend(code[parts[0]] if len(parts) == 1 else chain.from_iterable(map(code.__getitem__, parts)))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """The tokens of each text."""
-        for text in texts:
-            parts = self.split_special.split(text) if self.split_special else [text]
-            out: list[int] = []
-            for k, part in enumerate(parts):
-                if k % 2:
-                    out.append(self.special[part])
-                    continue
-                runs = RUNS.findall(part)
-                known = self.known
-                if missing := set(runs).difference(known):
-                    self.learn(missing)
-                    if len(known) < len(missing):  # emptied on the way
-                        self.learn(set(runs).difference(known))
-                out.extend(chain.from_iterable(map(known.__getitem__, runs)))
-            yield out
+        """The tokens of each text.  Texts are taken together up to TOGETHER characters."""
+        start = 0
+        while start < len(texts):
+            if len(self.known) > KNOWN:
+                self.known = Known(self.known)
+            of_run, end, size, found = self.known.__getitem__, start, 0, []
+            while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
+                found.append([[[self.special[part]]] if k % 2 else list(map(of_run, RUNS.findall(part))) for k, part in enumerate(self.parts(texts[end]))])
+                size += len(texts[end])
+                end += 1
+            self.learn(self.known.missing)
+            self.known.missing = []
+            for parts in found:
+                yield list(chain.from_iterable(chain.from_iterable(parts)))
+            start = end
+
+    def parts(self, text: str) -> list[str]:
+        """The text between special strings, and at odd places these."""
+        return self.split_special.split(text) if self.split_special else [text]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of tokens, special ones too; bytes that aren't UTF-8 become U+FFFD."""
@@ -147,6 +185,7 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
+    gc.disable()  # the tables have no cycles, and a worker would go through all of them again and again
     return Bpe(path)
 
 
