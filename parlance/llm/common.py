@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,37 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder, read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a filter: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit for each value modulo FILTER_BITS of the long column key; other values are surely not in keys.
+
+    The bits are gathered with map-side combination in 64-bit words, so at most
+    FILTER_BITS / 64 rows come to the driver.  On very large inputs the filter
+    fills up and lets everything pass; what uses it must be right then too.
+    """
+    bit = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, CAST(pmod(`" + key + "`, 64) AS INT))").alias("bit"))
+    rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
+def may_contain(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the 64-bit keys (signed) may be among those of a filter."""
+    at = keys.astype(np.int64) & np.int64(FILTER_BITS - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import bpe, exact_dedup, licenses, mixing, quality, token_counts
+from parlance.llm import bpe, exact_dedup, licenses, media, mixing, quality, secrets, token_counts
 
 #: The vocabulary of the token queries; the file stays where its package has it.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,10 +29,18 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scans(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scans(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_media_chunks": op5_media_chunks,
         "op7_token_counts": op7_token_counts,
+        "op8_secret_scans": op8_secret_scans,
         "op9_license_scans": op9_license_scans,
         "op10_quality_classifier": op10_quality_classifier,
     }
