@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from parlance.llm.url_lists import CHANGES
+
 OP3 = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -13,5 +15,32 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+_CHANGES = ", ".join(str(c) for c in CHANGES)
+
+OP6 = rf"""
+WITH changes(entry, action, day, category) AS (VALUES {_CHANGES}),
+one AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY entry, day ORDER BY action DESC, category DESC) = 1),
+turns AS (SELECT *, lag(action) OVER (PARTITION BY entry ORDER BY day) AS before FROM one),
+spans AS (
+  SELECT entry, action, day, category, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until
+  FROM turns WHERE before IS NULL OR before <> action
+),
+captures AS (
+  SELECT page_id, url, CAST(DATE '2023-01-01' + CAST(page_id % 730 AS INTEGER) AS VARCHAR) AS fetched_on,
+         nullif(rtrim(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '.'), '') AS host,
+         regexp_replace(regexp_extract(url, '(?i)^https?://[^/?#]+/([^?#]*)', 1), '/+$', '') AS path
+  FROM pages
+),
+found AS (
+  SELECT c.page_id, s.entry, s.day AS listed_on, s.category
+  FROM captures c JOIN spans s ON s.action = 'add' AND s.day <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
+   AND (c.host = s.entry OR ends_with(c.host, '.' || s.entry) OR starts_with(c.host || '/' || c.path || '/', s.entry || '/') AND contains(s.entry, '/'))
+  QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.entry) DESC, s.entry DESC) = 1
+)
+SELECT c.page_id, c.host, c.fetched_on, f.entry, f.listed_on, f.category, f.entry IS NOT NULL AS blocked
+FROM captures c LEFT JOIN found f USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op6_url_lists": OP6, "op3_exact_dedup": OP3}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import bpe, exact_dedup, licenses, media, mixing, ngram_join, quality, secrets, token_counts
+from parlance.llm import bpe, exact_dedup, licenses, media, mixing, ngram_join, quality, secrets, token_counts, url_lists
 
 #: The vocabulary of the token queries; the file stays where its package has it.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +38,12 @@ def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = url_lists.with_fetch_day(_table(spark, sf_dir, "pages"))
+    judged = url_lists.judge(captures, url_lists.default_changes(spark))
+    return judged.select("page_id", "host", F.col("fetched_on").cast("string").alias("fetched_on"), "entry", F.col("listed_on").cast("string").alias("listed_on"), "category", "blocked")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -61,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_media_chunks": op5_media_chunks,
+        "op6_url_lists": op6_url_lists,
         "op7_token_counts": op7_token_counts,
         "op8_secret_scans": op8_secret_scans,
         "op9_license_scans": op9_license_scans,
