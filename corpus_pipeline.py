@@ -1,22 +1,51 @@
-"""The corpus pipeline: STAGES applied one after the other to the documents table."""
+"""The corpus pipeline: STAGES applied one after the other to the documents table.
+
+Each stage takes what its predecessor kept, drops or repeats rows, and returns
+the columns of documents; the last one returns tokens in place of the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import exact_dedup, mixing
+from parlance.llm import bpe, exact_dedup, mixing, ngram_join, quality
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text."""
     return exact_dedup.dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of sources: documents as often as it takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing sources to target weights", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """ids and n_tokens in place of the text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", tokenize),
+]
 
+#: The classifier isn't expressible in SQL.
 ORACLE_SQL = None
 
 
