@@ -31,7 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import bit_filter, durable, may_contain, small_batches, text_of, written
@@ -40,6 +40,8 @@ from parlance.llm.common import bit_filter, durable, may_contain, small_batches,
 UNIT, PAD, RATE = 192, b" ", 8_000
 #: Least and most bytes of a chunk; a cut stands where the top CUT_BITS of the gear hash are 0 (one place in 1024).
 LEAST, MOST, CUT_BITS = 256, 8_192, 10
+#: Bytes of a chunk's digest.
+DIGEST = 16
 #: Bytes that the 32-bit gear hash looks back.
 WINDOW = 32
 GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 32, 256, np.uint32)
@@ -92,7 +94,7 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 def digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
 def feature(payload: bytes) -> str:
@@ -103,7 +105,7 @@ def feature(payload: bytes) -> str:
 
 
 def listed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media_key, media_bytes, chunk_list of each row: the digests without bytes."""
+    """doc_id, n_bytes, media_key, media_bytes, chunk_list of each row: the digests, end to end, without bytes."""
 
     def run(batches):
         for batch in batches:
@@ -111,14 +113,14 @@ def listed(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 payload, raw = payload_of(text)
                 media = to_wav(payload)
-                keys.append(hashlib.sha256(media).hexdigest())
+                keys.append(hashlib.sha256(media).digest())
                 sizes.append(len(media))
                 n.append(raw)
-                lists.append([digest(c) for c in chunks(media)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_key", "media_bytes", "chunk_list"])
+                lists.append(b"".join(digest(c) for c in chunks(media)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.binary())], ["doc_id", "n_bytes", "media_key", "media_bytes", "chunk_list"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media_key string, media_bytes long, chunk_list array<binary>")
+    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media_key binary, media_bytes long, chunk_list binary")
 
 
 def key_of(hashed: bytes) -> int:
@@ -126,14 +128,19 @@ def key_of(hashed: bytes) -> int:
     return int.from_bytes(hashed[:8], "big", signed=True)
 
 
+def digests_of(chunk_list: str) -> Column:
+    """The digests of a chunk list as an array."""
+    count = (F.length(chunk_list) / DIGEST).cast("int")
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(chunk_list, (k - 1) * DIGEST + 1, F.lit(DIGEST)))
+
+
 def shared_keys(rows: DataFrame) -> DataFrame:
     """key of each file that several rows have, and of each chunk that several files have."""
-    number = lambda digits: F.conv(digits, 16, -10).cast("long")
-    files = rows.groupBy("media_key").agg(F.first("chunk_list").alias("chunk_list"), F.count("*").alias("times"))
-    files = durable(files)
-    chunk = files.select(F.explode(F.array_distinct("chunk_list")).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("times"))
-    several = chunk.where("times > 1").select(number(F.substring(F.hex("chunk"), 1, 16)).alias("key"))
-    return several.unionByName(files.where("times > 1").select(number(F.substring("media_key", 1, 16)).alias("key")))
+    number = lambda column: F.conv(F.hex(F.substring(column, 1, 8)), 16, -10).cast("long")
+    files = rows.groupBy(number("media_key").alias("key")).count().where("count > 1").select("key")
+    chunk = rows.select(number("media_key").alias("file"), F.explode(digests_of("chunk_list")).alias("chunk"))
+    several = chunk.groupBy(number("chunk").alias("key")).agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").select("key")
+    return several.unionByName(files)
 
 
 class Store:
@@ -162,55 +169,56 @@ class Store:
                         seen.clear()
                     seen.update([name] if shared[0] else [])
                     kinds.append("copied" if shared[0] else "file")
-                    keys.append(name.hex())
-                    lists.append(codes)
+                    keys.append(name)
+                    lists.append(b"".join(codes))
                     inlines.append([None if s else c for c, s in zip(parts, shared[1:], strict=True)])
                     for c, code, s in zip(parts, codes, shared[1:], strict=True):
                         if s and code not in seen:
                             seen.add(code)
                             kinds.append("chunk")
-                            keys.append(code.hex())
-                            lists.append([])
+                            keys.append(code)
+                            lists.append(b"")
                             inlines.append([c])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(lists, pa.list_(pa.binary())), pa.array(inlines, pa.list_(pa.binary()))], ["kind", "media_key", "chunk_list", "inline"])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.binary()), pa.array(lists, pa.binary()), pa.array(inlines, pa.list_(pa.binary()))], ["kind", "media_key", "chunk_list", "inline"])
 
-        raw = docs.select(text_of("text").alias("text")).mapInArrow(run, "kind string, media_key string, chunk_list array<binary>, inline array<binary>")
+        raw = docs.select(text_of("text").alias("text")).mapInArrow(run, "kind string, media_key binary, chunk_list binary, inline array<binary>")
         stored = written(raw, "media-files", compression="zstd")
         self.files = stored.where("kind = 'file'").drop("kind")
         self.copied_files = written(stored.where("kind = 'copied'").drop("kind").dropDuplicates(["media_key"]), "media-copied", compression="zstd")
         chunk = stored.where("kind = 'chunk'").groupBy("media_key").agg(F.first("inline").alias("inline"))
-        self.chunks = written(chunk.select(F.unhex("media_key").alias("digest"), F.col("inline")[0].alias("data")), "media-chunks", compression="zstd")
+        self.chunks = written(chunk.select(F.col("media_key").alias("digest"), F.col("inline")[0].alias("data")), "media-chunks", compression="zstd")
 
     def read(self) -> DataFrame:
         """media_key, parts: the bytes of each file's chunks in order."""
         files = self.files.unionByName(self.copied_files)
         borrows = F.exists("inline", lambda x: x.isNull())
         own = files.where(~borrows).select("media_key", F.col("inline").alias("parts"))
-        each = files.where(borrows).select("media_key", F.posexplode(F.arrays_zip("chunk_list", "inline")).alias("pos", "c"))
-        each = each.select("media_key", "pos", F.col("c.chunk_list").alias("digest"), F.col("c.inline").alias("inline"))
-        each = each.join(self.chunks, "digest", "left")
-        # of one file: as long as its text
-        whole = each.groupBy("media_key").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("inline", "data").alias("part")))).alias("each"))
-        return own.unionByName(whole.select("media_key", F.col("each.part").alias("parts")))
+        rest = files.where(borrows)
+        # only the places of borrowed chunks meet the chunk table, and they come back to their file
+        asked = rest.select("media_key", F.posexplode(F.arrays_zip(digests_of("chunk_list").alias("digest"), "inline")).alias("pos", "c"))
+        asked = asked.where("c.inline IS NULL").select("media_key", "pos", F.col("c.digest").alias("digest"))
+        lent = asked.join(self.chunks, "digest").groupBy("media_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("lent"))
+        parts = F.transform("inline", lambda part, k: F.coalesce(part, F.try_element_at("lent", k)))
+        return own.unionByName(rest.join(lent, "media_key").select("media_key", parts.alias("parts")))
 
 
 def verified(files: DataFrame) -> DataFrame:
     """media_key and what is computed from the bytes read back: payload_bytes, payload_sha256, tail_crc32, media_sha256, feature."""
-    kinds = {"media_key": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    kinds = {"media_key": pa.binary(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches):
         for batch in batches:
             out = []
             for key, parts in zip(batch.column("media_key").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                media = b"".join(parts)
-                name = hashlib.sha256(media).hexdigest()
+                media = b"".join(parts)  # a chunk that is missing is null, and fails here
+                name = hashlib.sha256(media).digest()
                 if name != key:
-                    raise ValueError(f"the stored file {key} reads back as {name}")
+                    raise ValueError(f"the stored file {key.hex()} reads back as {name.hex()}")
                 payload = from_wav(media)
-                out.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), name, feature(payload)))
+                out.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), name.hex(), feature(payload)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
-    return files.mapInArrow(run, "media_key string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
+    return files.mapInArrow(run, "media_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
 
 
 def media(docs: DataFrame) -> DataFrame:
