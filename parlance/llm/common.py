@@ -49,7 +49,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 #: Rows in an Arrow batch, so that a batch of very long documents still fits a Python worker.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -17,9 +17,10 @@ those that occur T times on the inverted lists of its shingles.
    DivideSkip: short lists are merged by a heap, nodes that occur often enough on
    them are looked up in the L long lists by binary search, and nodes with the
    required overlap link.  Counts there are exact set intersections.
-4. A block of more than HOT shingles is split.  A hub, which sample nodes link
-   with most, takes all nodes that link with it; only the others are queries, and
-   chunks of queries are searched against chunks of all nodes of the block.
+4. A block of more than HOT shingles is split.  Nodes that don't share enough
+   shingles with the rest of it altogether leave it.  A hub, which shares most
+   with a sample, takes all nodes that link with it; only the others are queries,
+   and chunks of queries are searched against chunks of all nodes of the block.
 
 Nodes that are connected already aren't compared again, so a group of near
 copies isn't expanded into its pairs, and no link between different groups is
@@ -40,22 +41,23 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bit_filter, drop_ids, durable, may_contain, small_batches, text_of
+from parlance.llm.common import BROADCAST_IDS, drop_ids, durable, small_batches, text_of
 from parlance.llm.components import Forest, components
 
 #: Words of a shingle; least overlap in hundredths of the union.
 N, PERCENT = 5, 80
 #: Counters of the frequency sketch, and the slices in which tasks send them.
-COUNTERS, SLICES = 1 << 20, 64
+COUNTERS, SLICES = 1 << 22, 64
+SHIFT = np.uint64(42)  # a token's counter is its top bits
 #: Postings of a bucket and shingles of a group of small blocks, about; shingles from which a block is split; postings that a task holds.
 BUCKET, GROUP, HOT, HELD = 200_000, 400_000, 200_000, 1_500_000
 #: DivideSkip's weight of a lookup in a long list against a step of the merge.
@@ -66,6 +68,7 @@ SAMPLE = 64
 KNOWN = 500_000
 
 POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("low", "<u4"), ("high", "<u4")])
+SHARED = np.dtype([("token", "<u8"), ("key", "<i8"), ("done", "?")])
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -94,7 +97,8 @@ def shingles(text: str, hashes: Hashes) -> np.ndarray:
     out ^= out >> np.uint64(29)
     out *= _ODD[1]
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def key_of(tokens: np.ndarray) -> int:
@@ -126,7 +130,13 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes, seen, counts = Hashes(), set(), np.zeros(COUNTERS, np.uint32)
-        kind = None
+        kind, waiting, size = None, [], 0
+
+        def count() -> None:
+            if waiting:
+                counts[:] += np.bincount((np.concatenate(waiting) >> SHIFT).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                waiting.clear()
+
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             n, keys = [], []
@@ -135,12 +145,17 @@ def profile(docs: DataFrame) -> DataFrame:
                 n.append(len(tokens))
                 keys.append(key_of(tokens) if len(tokens) else None)
                 if len(tokens) and not _seen(seen, keys[-1]):
-                    np.add.at(counts, (tokens >> np.uint64(44)).astype(np.int64), 1)
+                    waiting.append(tokens)
+                    size += len(tokens)
+                    if size > HELD:
+                        count()
+                        size = 0
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "key", "slice", "blob"])
         if kind is not None:
-            none = pa.nulls(SLICES)
-            blobs = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, SLICES)]
+            count()
+            none, pack = pa.nulls(SLICES), zstandard.ZstdCompressor(1)
+            blobs = [pack.compress(part.tobytes()) for part in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "key", "slice", "blob"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key long, slice int, blob binary")
@@ -153,7 +168,7 @@ def levels(slices: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(blob), np.uint32).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.floor(8 * np.log2(1 + s)).clip(0, 255).astype(np.uint8).tobytes() for s in sums.values()], pa.binary())], ["slice", "blob"])
 
     parts = slices.repartition(SLICES, "slice").mapInArrow(run, "slice int, blob binary").collect()  # COUNTERS bytes in all
@@ -166,8 +181,8 @@ def levels(slices: DataFrame) -> np.ndarray:
 def first_tokens(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The rarest size - T + 1 shingles of a set: sets that link share one of them."""
     take = len(tokens) - required(len(tokens)) + 1
-    order = (level[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
-    return tokens[np.argsort(order, kind="stable")[:take]]
+    order = (level[(tokens >> SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+    return tokens[np.argsort(order, kind="stable")[:take].copy()]
 
 
 def near_in_size(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,68 +351,133 @@ def _hub(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "hub": pa.array([keys[best]], pa.int64()), "hub_tokens": pa.array([sets[best].tobytes()], pa.binary())})
 
 
-def _with_hub(batches):
-    """Adds linked: whether a node links with its block's hub."""
-    for batch in batches:
-        out = []
-        for tokens, hub in zip(batch.column("tokens").to_pylist(), batch.column("hub_tokens").to_pylist(), strict=True):
-            if hub is None:
-                out.append(False)
-                continue
-            x, y = np.frombuffer(tokens, np.uint64), np.frombuffer(hub, np.uint64)
-            hit = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            out.append(bool(links(int((y[hit] == x).sum()), len(x), len(y))))
-        names = ["block", "key", "n", "tokens", "hub"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.bool_())], [*names, "linked"])
+def _with_hub(table: pa.Table) -> pa.Table:
+    """key, linked: whether each node of a chunk links with the hub, which is the row with is_hub."""
+    rows = list(zip(table.column("key").to_pylist(), table.column("tokens").to_pylist(), table.column("is_hub").to_pylist(), strict=True))
+    hub = next((np.frombuffer(t, np.uint64) for _, t, is_hub in rows if is_hub), None)
+    keys, out = [], []
+    for key, tokens, is_hub in rows:
+        if not is_hub:
+            x = np.frombuffer(tokens, np.uint64)
+            keys.append(key)
+            out.append(hub is not None and bool(links(int((hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] == x).sum()), len(x), len(hub))))
+    return pa.table({"key": pa.array(keys, pa.int64()), "linked": pa.array(out, pa.bool_())})
+
+
+def linkable(nodes: DataFrame) -> DataFrame:
+    """key of the nodes of which enough shingles also stand in other nodes of their block; the others link with nothing.
+
+    A task counts what its own nodes share and sends a shingle at most twice, so
+    a list is as long as the number of tasks.
+    """
+
+    def send(held: list[tuple[int, int, int, np.ndarray]]):
+        block = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[3]) for h in held])
+        parts = np.repeat(np.array([h[1] for h in held], np.uint64), [len(h[3]) for h in held])
+        key = np.repeat(np.array([h[2] for h in held], np.int64), [len(h[3]) for h in held])
+        token = np.concatenate([h[3] for h in held])
+        order = np.lexsort((token, block))
+        block, parts, key, token = block[order], parts[order], key[order], token[order]
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
+        times = np.bincount(np.cumsum(new) - 1)
+        several = np.repeat(times > 1, times)
+        own, hits = np.unique(key[several], return_counts=True)
+        # of a shingle that several nodes of the task have, two postings say that it is shared
+        first = np.flatnonzero(new)
+        sent = np.unique(np.concatenate((first, first[times > 1] + 1)))
+        at, bucket = block[sent], (token[sent] % parts[sent]).astype(np.int64)
+        done = several[sent]
+        order = np.lexsort((bucket, at))
+        at, bucket, tokens, keys, done = at[order], bucket[order], token[sent][order], key[sent][order], done[order]
+        cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (bucket[1:] != bucket[:-1]))))
+        blobs = [x.tobytes() for x in np.split(np.rec.fromarrays((tokens, keys, done), dtype=SHARED), cut[1:])]
+        counts = [b""] * len(cut)
+        counts[0] = np.stack((own, hits)).astype(np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(at[cut]), pa.array(bucket[cut]), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], ["block", "bucket", "postings", "counts"])
+
+    def postings(batches):
+        held, n = [], 0
+        for batch in batches:
+            for block, parts, key, tokens in zip(*[batch.column(c).to_pylist() for c in ("block", "parts", "key", "tokens")], strict=True):
+                held.append((block, parts, key, np.frombuffer(tokens, np.uint64)))
+                n += len(held[-1][3])
+            if n > HELD:
+                yield send(held)
+                held, n = [], 0
+        if held:
+            yield send(held)
+
+    def meet(table: pa.Table) -> pa.Table:
+        p = np.concatenate([np.frombuffer(x, SHARED) for x in table.column("postings").to_pylist()])
+        p = p[np.argsort(p["token"], kind="stable")]
+        times = np.bincount(np.cumsum(np.concatenate(([True], p["token"][1:] != p["token"][:-1]))) - 1)
+        key, hits = np.unique(p["key"][np.repeat(times > 1, times) & ~p["done"]], return_counts=True)
+        sent = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("counts").to_pylist() if x]
+        return pa.table({"key": np.concatenate([key, *[x[0] for x in sent]]), "hits": np.concatenate([hits.astype(np.int64), *[x[1] for x in sent]])})
+
+    sent = nodes.select("block", "parts", "key", "tokens").mapInArrow(postings, "block long, bucket long, postings binary, counts binary")
+    hits = sent.groupBy("block", "bucket").applyInArrow(meet, "key long, hits long").groupBy("key").agg(F.sum("hits").alias("hits"))
+    return hits.join(nodes.select("key", "n"), "key").where(100 * F.col("hits") >= PERCENT * F.col("n")).select("key")
 
 
 def split_links(nodes: DataFrame, sizes: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: links of blocks that are too large for one task.  nodes: block, key, n, tokens; sizes: block, nodes, shingles."""
+    """a, b: links of blocks that are too large for one task.  nodes: block, key, n, tokens; sizes: block, shingles."""
     part = lambda column, parts: F.pmod(F.xxhash64(F.lit(3), column), parts)
-    sampled = nodes.join(sizes, "block").where(part("key", F.greatest(F.lit(1), F.floor(F.col("nodes") / SAMPLE))) == 0).select("block", "key", "tokens")
-    hubs = durable(sampled.groupBy("block").applyInArrow(_hub, "block long, hub long, hub_tokens binary"))
-    near = nodes.join(hubs, "block", "left")
+    chunks = F.ceil(F.col("shingles") / hot)
+    nodes = nodes.join(sizes.select("block", F.ceil(F.col("shingles") / BUCKET).alias("parts")), "block")
+    nodes = durable(nodes.join(linkable(nodes), "key", "left_semi").select("block", "key", "n", "tokens"))
+    sizes = durable(nodes.groupBy("block").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")))
+    placed = nodes.join(sizes, "block").withColumn("i", part("key", chunks)).withColumn("chunks", chunks)
+    sampled = placed.where(part("key", F.greatest(F.lit(1), F.floor(F.col("nodes") / SAMPLE))) == 0).select("block", "key", "tokens")
     # A block whose sample is empty has no hub, and all its nodes are queries.
-    near = durable(near.mapInArrow(_with_hub, "block long, key long, n long, tokens binary, hub long, linked boolean"))
-    by_hub = near.where("linked AND hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    asked = near.where("NOT linked").groupBy("block").agg(F.sum("n").alias("asked"))
-    parts = sizes.join(asked, "block").select("block", F.ceil(F.col("shingles") / hot).alias("chunks"), F.ceil(F.col("asked") / hot).alias("q_chunks"))
-    placed = near.join(parts, "block")
+    hubs = durable(sampled.groupBy("block").applyInArrow(_hub, "block long, hub long, hub_tokens binary"))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    index = placed.select("block", "key", "tokens", F.lit(False).alias("query"), part("key", F.col("chunks")).alias("i"), every("q_chunks").alias("j"))
-    asked = placed.where("NOT linked").select("block", "key", "tokens", F.lit(True).alias("query"), every("chunks").alias("i"), part("key", F.col("q_chunks")).alias("j"))
-    found = index.unionByName(asked.select(*index.columns)).groupBy("block", "i", "j").applyInArrow(_block_search, "a long, b long")
+    sent = hubs.join(sizes.withColumn("chunks", chunks), "block").select("block", every("chunks").alias("i"), F.col("hub").alias("key"), F.col("hub_tokens").alias("tokens"), F.lit(True).alias("is_hub"))
+    near = placed.select("block", "i", "key", "tokens", F.lit(False).alias("is_hub")).unionByName(sent)
+    near = durable(near.groupBy("block", "i").applyInArrow(_with_hub, "key long, linked boolean"))
+    by_hub = near.where("linked").join(placed.select("key", "block"), "key").join(hubs.select("block", "hub"), "block").where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    asking = placed.join(near.where("NOT linked").select("key"), "key", "left_semi")
+    parts = asking.groupBy("block").agg(F.ceil(F.sum("n") / hot).alias("q_chunks"))
+    index = placed.join(parts, "block").select("block", "key", "tokens", F.lit(False).alias("query"), "i", every("q_chunks").alias("j"))
+    asked = asking.join(parts, "block").select("block", "key", "tokens", F.lit(True).alias("query"), every("chunks").alias("i"), part("key", F.col("q_chunks")).alias("j"))
+    found = index.unionByName(asked).groupBy("block", "i", "j").applyInArrow(_block_search, "a long, b long")
     return by_hub.unionByName(found)
 
 
-def linked_nodes(docs: DataFrame, rows: DataFrame, slices: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
-    """node, root of every node that links with another one."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    level = levels(slices)
-    edges = candidate_edges(docs, level, max(1, total * (100 - PERCENT) // 100 // bucket))
-    blocks = durable(components(edges).select(F.col("node").alias("key"), F.col("root").alias("block")))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(blocks, "key"))
+def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes (key, least, and others) with the shingles of each.
 
-    def active(batches):
-        hashes, seen = Hashes(), set()
+    Only the document with a node's smallest doc_id is read for it, so copies
+    send nothing.  The nodes are broadcast if they are few enough for that;
+    otherwise the documents are shuffled by doc_id.
+    """
+    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    near = F.broadcast if few else (lambda df: df)
+
+    def run(batches):
+        hashes = Hashes()
         for batch in batches:
-            keys, out = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text, hashes)
-                if len(tokens) and may_contain(bits.value, np.array([key := key_of(tokens)]))[0] and not _seen(seen, key):
-                    keys.append(key)
-                    out.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "tokens"])
+            sets = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "of", "tokens"])
+
+    chosen = docs.join(near(nodes.select(F.col("least").alias("id"))), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of long, tokens binary")
+    return sets.join(near(nodes), (F.col("of") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).drop("doc_id", "of")
+
 
-    nodes = docs.select("text").mapInArrow(active, "key long, tokens binary").join(blocks, "key").dropDuplicates(["key"])
-    nodes = durable(nodes.select("block", "key", (F.length("tokens") / 8).cast("long").alias("n"), "tokens"))
+def linked_nodes(docs: DataFrame, keys: DataFrame, slices: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """node, root of every node that links with another one.  keys: key, n, least of each node."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    edges = candidate_edges(docs, levels(slices), max(1, total * (100 - PERCENT) // 100 // bucket))
+    nodes = durable(components(edges).withColumnsRenamed({"node": "key", "root": "block"}).join(keys, "key"))
     sizes = durable(nodes.groupBy("block").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")))
     small, large = sizes.where(F.col("shingles") <= hot), sizes.where(F.col("shingles") > hot)
     groups = (small.agg(F.sum("shingles")).first()[0] or 0) // GROUP + 1
-    calm = nodes.join(small.select("block"), "block").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    found = calm.groupBy("group").applyInArrow(_block_search, "a long, b long")
+    calm = durable(nodes.join(small.select("block"), "block"))
+    found = with_sets(docs, calm).groupBy(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")).applyInArrow(_block_search, "a long, b long")
     if not large.isEmpty():
-        found = found.unionByName(split_links(nodes.join(large.select("block"), "block"), large, hot))
+        crowded = with_sets(docs, durable(nodes.join(large.select("block"), "block"))).select("block", "key", "n", "tokens")
+        found = found.unionByName(split_links(durable(crowded), large, hot))
     return components(found)
 
 
@@ -407,8 +487,8 @@ def components_of(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> Data
     docs = docs.select("doc_id", text_of("text").alias("text"))
     both = durable(profile(docs))
     rows = both.where("slice IS NULL").select("doc_id", "n", "key")
-    roots = linked_nodes(docs, rows, both.where("slice IS NOT NULL").select("slice", "blob"), hot, bucket)
-    keys = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    keys = durable(rows.where("key IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("least")))
+    roots = linked_nodes(docs, keys, both.where("slice IS NOT NULL").select("slice", "blob"), hot, bucket)
     keys = durable(keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     named = keys.join(keys.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     # copies share a key: adaptive execution splits one that many rows have
