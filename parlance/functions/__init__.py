@@ -1 +1 @@
-"""Subpackage functions."""
+"""Column functions: text, scores, arrays and templates."""
