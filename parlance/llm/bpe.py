@@ -84,11 +84,12 @@ class Bpe:
         self.ids = {raw: n for raw, n in vocab.items() if n not in set(special.values())}
         self.special = special
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        #: last two bytes -> lengths of the tokens that end so, longest first
+        #: last three bytes -> lengths of the tokens that end so, longest first; 2 is always tried, 1 is what remains
         lengths: dict[bytes, set[int]] = {}
         for raw in self.ids:
-            lengths.setdefault(raw[-2:], set()).add(len(raw))
-        self.ending = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items() if len(tail) == 2}
+            if len(raw) >= 3:
+                lengths.setdefault(raw[-3:], set()).add(len(raw))
+        self.ending = {tail: (*sorted(found, reverse=True), 2) for tail, found in lengths.items()}
         #: merged pair -> rank; token -> rank of the merge that makes it (-1: a byte), and the halves it is made of.
         self.pair, self.made, self.left, self.right = {}, dict.fromkeys(self.ids.values(), -1), {}, {}
         raw_of = {text: bytes(as_byte[c] for c in text) for text in spec["model"]["vocab"] if all(c in as_byte for c in text)}
@@ -120,27 +121,27 @@ class Bpe:
 
     def walk(self, words: set[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
         """(word, its tokens) of distinct words, in depth-first order of their trie."""
-        ids, bytes_of, stays, ending, pairs = self.ids, self.bytes_of, self.stays, self.ending, self.pairs
+        ids, pairs, stays, bytes_of = self.ids, self.pairs, self.stays, self.bytes_of
+        token_of, sizes_of, known_pair, two = ids.get, self.ending.get, pairs.get, (2,)
         path, last = b"", [-1]
         for word in sorted(words):
             del last[len(commonprefix((path, word))) + 1 :]
             path = word
             for end in range(len(last), len(word) + 1):
-                token = ids[word[end - 1 : end]]
-                for size in ending.get(word[end - 2 : end], ()) if end > 1 else ():
-                    t = ids.get(word[end - size : end]) if size <= end else None
-                    if t is None:
+                for size in sizes_of(word[end - 3 : end], two) if end > 2 else two[: end - 1]:
+                    start = end - size
+                    if start < 0 or (token := token_of(word[start:end])) is None:
                         continue
-                    if size == end:
-                        token = t
+                    if not start:
                         break
-                    pair = last[end - size], t
-                    good = pairs.get(pair)
+                    pair = last[start], token
+                    good = known_pair(pair)
                     if good is None:
                         good = pairs[pair] = stays(*pair)
                     if good:
-                        token = t
                         break
+                else:
+                    token = ids[word[end - 1 : end]]
                 last.append(token)
             out, end = [], len(word)
             while end:

@@ -7,9 +7,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow's own allocators keep what a Python worker frees; the system's gives it back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: White space and words as every contract of these operators has them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

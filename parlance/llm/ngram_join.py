@@ -59,13 +59,13 @@ N, PERCENT = 5, 80
 COUNTERS, SLICES = 1 << 22, 64
 SHIFT = np.uint64(42)  # a token's counter is its top bits
 #: Postings of a bucket and shingles of a group of small blocks, about; shingles from which a block is split; postings that a task holds.
-BUCKET, GROUP, HOT, HELD = 200_000, 400_000, 200_000, 1_500_000
+BUCKET, GROUP, HOT, HELD = 200_000, 400_000, 200_000, 400_000
 #: DivideSkip's weight of a lookup in a long list against a step of the merge.
 MU = 0.0085
 #: Nodes of a split block among which its hub is chosen, about.
 SAMPLE = 64
 #: Words that a worker's table of hashes may have, and nodes that a task remembers, before they are emptied.
-KNOWN = 500_000
+KNOWN = 200_000
 
 POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("low", "<u4"), ("high", "<u4")])
 SHARED = np.dtype([("token", "<u8"), ("key", "<i8"), ("done", "?")])

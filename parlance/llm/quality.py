@@ -32,7 +32,7 @@ SAMPLE, BITS, THRESHOLD = 6_000, 18, 0.3
 ALPHA, BETA, L1, L2, EPOCHS = 4.0, 1.0, 0.01, 0.01, 8
 WORDS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Words that a worker's table of hashes may have before it is emptied.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 class Hashes(dict):

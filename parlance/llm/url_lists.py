@@ -71,17 +71,20 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
-    """captures with host, entry, listed_on, category and blocked."""
-    rows = durable(captures.withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host_of(F.col(url))))
-    spans = durable(intervals(changes))
+    """captures with host, entry, listed_on, category and blocked, which replace columns of these names."""
+    kept = [c for c in captures.columns if c not in ("host", "entry", "listed_on", "category", "blocked")]
+    rows = durable(captures.select(*kept, F.monotonically_increasing_id().alias("__row"), host_of(F.col(url)).alias("__host")))
+    spans = durable(intervals(changes)).select(F.col("entry").alias("__entry"), F.col("history").alias("__history"))
     if spans.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
         spans = F.broadcast(spans)
-    looked = rows.where(F.col("host").isNotNull()).select("__row", F.col(fetched).alias("on"), F.explode(F.array_distinct(keys_of(F.col("host"), F.col(url)))).alias("entry"))
-    active = F.filter("history", lambda x: (x["since"] <= F.col("on")) & (x["until"].isNull() | (F.col("on") < x["until"])))
-    found = looked.join(spans, "entry").select("__row", "entry", F.explode(active).alias("span"))
-    best = found.groupBy("__row").agg(F.max_by(F.struct("entry", F.col("span.since").alias("listed_on"), F.col("span.category").alias("category")), F.struct(F.length("entry"), "entry")).alias("best"))
-    out = rows.join(best, "__row", "left")
-    return out.select(*captures.columns, "host", F.col("best.entry").alias("entry"), F.col("best.listed_on").alias("listed_on"), F.col("best.category").alias("category"), F.col("best").isNotNull().alias("blocked"))
+    keys = F.explode(F.array_distinct(keys_of(F.col("__host"), F.col(url))))
+    looked = rows.where(F.col("__host").isNotNull()).select("__row", F.col(fetched).alias("__on"), keys.alias("__entry"))
+    active = F.filter("__history", lambda x: (x["since"] <= F.col("__on")) & (x["until"].isNull() | (F.col("__on") < x["until"])))
+    found = looked.join(spans, "__entry").select("__row", "__entry", F.explode(active).alias("span"))
+    named = F.struct(F.col("__entry").alias("entry"), F.col("span.since").alias("listed_on"), F.col("span.category").alias("category"))
+    longest = found.groupBy("__row").agg(F.max_by(named, F.struct(F.length("__entry"), "__entry")).alias("__best"))
+    out = rows.join(longest, "__row", "left")
+    return out.select(*kept, F.col("__host").alias("host"), *[F.col(f"__best.{c}").alias(c) for c in ("entry", "listed_on", "category")], F.col("__best").isNotNull().alias("blocked"))
 
 
 def default_changes(spark) -> DataFrame:
