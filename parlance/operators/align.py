@@ -96,18 +96,20 @@ def from_messages(df: DataFrame, c: Columns, keep: list[str] = ()) -> DataFrame:
     """
     t = c.tags
     said = F.transform(c.messages, lambda m: F.struct(m[t.role].alias("role"), m[t.content].alias("content")))
-    leading = F.get(F.col("__said"), F.lit(0))["role"] == t.system
+    leading = F.coalesce(F.get(F.col("__said"), F.lit(0))["role"] == F.lit(t.system), F.lit(False))
     out = df.withColumn("__said", F.coalesce(said, F.expr(NONE)))
     own = F.col(c.system) if c.system else F.lit("")
     out = out.withColumn("__system", F.when(leading, F.get("__said", F.lit(0))["content"]).otherwise(own))
     out = out.withColumn("__said", F.when(leading, F.slice("__said", F.lit(2), F.greatest(F.size("__said") - 1, F.lit(0)))).otherwise(F.col("__said")))
-    roles = F.create_map(*[F.lit(x) for pair in ((t.user, "user"), (t.assistant, "assistant"), (t.observation, "observation"), (t.function, "function")) for x in pair])
-    wrong = F.exists(F.transform("__said", lambda m, k: F.when(k % 2 == 0, m["role"].isin(t.user, t.observation)).otherwise(m["role"].isin(t.assistant, t.function))), lambda ok: ~F.coalesce(ok, F.lit(False)))
+    # a tag that the registry unset is no role
+    roles = F.create_map(*[F.lit(x) for pair in ((t.user, "user"), (t.assistant, "assistant"), (t.observation, "observation"), (t.function, "function")) if pair[0] for x in pair])
+    asks, answers = ([x for x in tags if x] for tags in ((t.user, t.observation), (t.assistant, t.function)))
+    wrong = F.exists(F.transform("__said", lambda m, k: F.when(k % 2 == 0, m["role"].isin(asks)).otherwise(m["role"].isin(answers))), lambda ok: ~F.coalesce(ok, F.lit(False)))
     broken = wrong | (F.size("__said") % 2 != (1 if c.ranking else 0)) | (F.size("__said") == 0)
     mapped = F.transform("__said", lambda m: F.struct(F.try_element_at(roles, m["role"]).alias("role"), m["content"].alias("content")))
     if c.ranking:
         answer = lambda name: F.struct(F.try_element_at(roles, F.col(name)[t.role]).alias("role"), F.col(name)[t.content].alias("content"))
-        good = F.col(c.chosen)[t.role].isin(t.assistant, t.function) & F.col(c.rejected)[t.role].isin(t.assistant, t.function)
+        good = F.col(c.chosen)[t.role].isin(answers) & F.col(c.rejected)[t.role].isin(answers)
         broken = broken | ~F.coalesce(good, F.lit(False))
         prompt, response = mapped, F.array(answer(c.chosen), answer(c.rejected))
     else:

@@ -63,9 +63,9 @@ def lengths_of(mask: Column) -> Column:
 
 def boundaries(rows: DataFrame, key: str, mask: str) -> DataFrame:
     """key, id, length and cumulative length of each numbered example of a row."""
-    each = rows.select(key, F.posexplode(lengths_of(F.col(mask))).alias("k", "length"), F.col(mask).alias("__m"))
-    sums = F.aggregate(F.slice(lengths_of(F.col("__m")), F.lit(1), F.col("k") + 1), F.lit(0), lambda a, b: a + b)
-    return each.select(key, (F.col("k") + 1).alias("id"), "length", sums.alias("cumulative"))
+    each = rows.select(key, F.posexplode(lengths_of(F.col(mask))).alias("__k", "length"), F.col(mask).alias("__m"))
+    sums = F.aggregate(F.slice(lengths_of(F.col("__m")), F.lit(1), F.col("__k") + 1), F.lit(0), lambda a, b: a + b)
+    return each.select(key, (F.col("__k") + 1).alias("id"), "length", sums.alias("cumulative"))
 
 
 def attended(mask: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.text import strip
 from parlance.operators import parse
 
 #: File extensions and how they are read.
@@ -72,8 +73,8 @@ def read_multiturn(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of an instruction with its earlier turns and an output, as conversations."""
     rows = spark.read.schema("instruction string, output string").json(path)
     said = F.concat(parse.human_assistant(F.col("instruction"), "Human:", "Assistant:"), F.array(F.struct(F.lit("assistant").alias("role"), F.col("output").alias("content"))))
-    kept = F.filter(said, lambda m: F.trim(m["content"]) != "")
-    return rows.select(F.transform(kept, lambda m: F.struct(F.when(m["role"] == "user", "human").otherwise("gpt").alias("from"), F.trim(m["content"]).alias("value"))).alias("conversations"))
+    kept = F.filter(said, lambda m: strip(m["content"]) != "")
+    return rows.select(F.transform(kept, lambda m: F.struct(F.when(m["role"] == "user", "human").otherwise("gpt").alias("from"), strip(m["content"]).alias("value"))).alias("conversations"))
 
 
 def read_alternating(spark: SparkSession, path: str) -> DataFrame:
