@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import MISSING, lines, lstrip, normalize_completion, numbered, restore_tags, step, strip, tagged
+from parlance.operators.split import running_total
 
 LINES, TURNS = 6, 4
 
@@ -60,14 +61,12 @@ def turns(block: Column, missing: bool = True) -> Column:
 def segments(generations: DataFrame, completion: str, order: str, dialogues: int = 3, prefix: str = "CHATGPT") -> DataFrame:
     """One USER and one CHATBOT row for each parsed turn.  Dialogues are numbered over rows in their order.
 
-    The numbers come from counts by row: the window runs over one small row for
-    each completion, not over texts.
+    The numbers come from running totals of the rows' counts of dialogues; texts aren't sorted for it.
     """
-    from pyspark.sql import Window as W
-
     blocks = F.filter(dialogue_blocks(normalize_completion(F.col(completion)), dialogues), lambda b: b != "")
     parsed = generations.withColumn("__blocks", blocks)
-    counts = parsed.select(order, F.size("__blocks").alias("n")).withColumn("__first", F.sum("n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    counts = running_total(parsed.select(order, F.size("__blocks").cast("long").alias("__n")), [order], F.col("__n"), "__upto")
+    counts = counts.select(order, (F.col("__upto") - F.col("__n")).alias("__first"))
     each = parsed.join(counts, order).select(order, "__first", F.posexplode("__blocks").alias("k", "block"))
     each = each.select((F.col("__first") + F.col("k")).alias("number"), F.posexplode(turns(F.col("block"))).alias("t", "turn"))
     both = F.explode(F.array(F.lit("USER"), F.lit("CHATBOT"))).alias("SID")

@@ -36,26 +36,46 @@ def ranked(rows: DataFrame, key: str | Column, seed: int | str, name: str = "rn"
     return out.withColumn(name, F.col("__r") + F.col("__before")).drop("__h", "__p", "__r", "__before")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
-    """rows with their 1-based rank in an order without ties: a sort by range, and the sizes of the ranges before."""
-    parts = materialized(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    out = parts.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order))).join(F.broadcast(before), "__p")
-    return out.withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
+def running_total(rows: DataFrame, order: list[str], value: Column, name: str, group: str | None = None) -> DataFrame:
+    """rows with the sum of value up to and with each row, in an order without ties, in each group if there is one.
+
+    Rows are sorted by range; a row's total is that of its range so far and of
+    the ranges before it.  So neither the table nor a group with a third of it is
+    one task.
+    """
+    keys = [group] if group else []
+    parts = materialized(rows.withColumn("__v", value).repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()))
+    sums = parts.groupBy(*keys, "__p").agg(F.sum("__v").alias("__s"))
+    upto = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__p").rowsBetween(W.unboundedPreceding, 0)
+    before = sums.select(F.col("__p").alias("__q"), *[F.col(g).alias("__g") for g in keys], (F.sum("__s").over(upto) - F.col("__s")).alias("__before"))
+    same = parts["__p"] == before["__q"]
+    if group:
+        same = same & parts[group].eqNullSafe(before["__g"])
+    own = F.sum("__v").over(W.partitionBy("__p", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = parts.withColumn("__own", own).join(before, same)
+    return out.withColumn(name, F.col("__own") + F.col("__before")).drop("__v", "__p", "__q", "__g", "__own", "__before")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "rn", group: str | None = None) -> DataFrame:
+    """rows with their 1-based rank in an order without ties, in each group if there is one."""
+    return running_total(rows, order, F.lit(1).cast("long"), name, group)
+
+
+def top_n(rows: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group.  A group is first cut to n rows in each of 64 parts, so it may be large."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(64))
+    first = rows.withColumn("__salt", salt).withColumn("__r", F.row_number().over(W.partitionBy(*groups, "__salt").orderBy(*order))).where(F.col("__r") <= n)
+    return first.withColumn("__r", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("__r") <= n).drop("__r", "__salt")
 
 
 def stratified(rows: DataFrame, strata: list[str], key: str, n: int, seed: int = 42, on_small: str = "skip") -> DataFrame:
     """rows with split: of each stratum n keys are test, the rest train.
 
     A stratum with fewer than n rows has no test rows (on_small = "skip") or
-    fails the job ("raise").  A stratum is first cut to its n smallest hashes in
-    64 parts, so it may hold a third of all rows.
+    fails the job ("raise").
     """
     order = F.struct(seeded(key, seed).alias("h"), F.col(key).alias("k"))
-    salted = rows.select(*strata, order.alias("o")).withColumn("__salt", F.pmod(F.xxhash64("o"), F.lit(64)))
-    top = salted.withColumn("__r", F.row_number().over(W.partitionBy(*strata, "__salt").orderBy("o"))).where(F.col("__r") <= n)
-    best = top.withColumn("__r", F.row_number().over(W.partitionBy(*strata).orderBy("o"))).where(F.col("__r") <= n)
+    best = top_n(rows.select(*strata, order.alias("o")), strata, [F.col("o")], n)
     counts = rows.groupBy(*strata).agg(F.count("*").alias("__n"))
     same = reduce(lambda a, b: a & b, [best[s].eqNullSafe(counts[s]) for s in strata])
     enough = F.when(F.col("__n") < n, F.raise_error(F.lit("a stratum is too small")).cast("boolean")).otherwise(True) if on_small == "raise" else F.col("__n") >= n
@@ -119,7 +139,7 @@ def pair_schedule(spark, emotions: tuple[str, ...], repeats: int, per_request: i
 
 def per_group(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each group in seeded order, as a support set."""
-    return rows.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy(seeded(key, seed), key))).where(F.col("__r") <= n).drop("__r")
+    return top_n(rows, [group], [seeded(key, seed), F.col(key)], n)
 
 
 def concatenated(sets: list[DataFrame]) -> DataFrame:
@@ -143,7 +163,7 @@ def interleaved(rows: DataFrame, source: str, order: str, stop: str = "first_exh
     """rows in turn from each source, numbered by turn: until the first source ends, or until all have, starting over."""
     sizes = rows.groupBy(source).agg(F.count("*").alias("__n"))
     low, high = sizes.agg(F.min("__n"), F.max("__n")).first()
-    turns = rows.withColumn("turn", F.row_number().over(W.partitionBy(source).orderBy(order)) - 1)
+    turns = numbered(rows, [order], "turn", source).withColumn("turn", (F.col("turn") - 1).cast("int"))
     if stop == "first_exhausted":
         return turns.where(F.col("turn") < low)
     again = turns.join(F.broadcast(sizes), source)

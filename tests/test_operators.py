@@ -157,6 +157,9 @@ def test_splits(spark):
     assert [split.sample_n(df, "id", n).count() for n in (10, 1000, 2500)] == [10, 1000, 2500]
     assert sorted(r["rn"] for r in split.ranked(df, "id", 1).collect()) == list(range(1, 1001))
     assert [r["id"] for r in split.numbered(df, ["id"]).orderBy("rn").collect()] == list(range(1000))
+    totals = split.running_total(df, ["id"], F.col("id"), "t", "s").orderBy("id").collect()
+    assert [r["t"] for r in totals[:5]] == [0, 1, 3, 3, 7] and totals[-1]["t"] == sum(range(700, 1000))
+    assert {r["s"]: r["n"] for r in split.per_group(df, "s", "id", 5).groupBy("s").agg(F.count("*").alias("n")).collect()} == {"few": 3, "hot": 5, "rest": 5}
     pairs = split.pair_schedule(spark, ("A", "B", "C"), 2, 4).collect()
     assert len(pairs) == 18 and len({(r["human"], r["chatbot"]) for r in pairs}) == 9
     train, test = split.by_ids(df, spark.range(5), "id")
