@@ -107,6 +107,16 @@ def test_questions(spark):
     assert [m["content"] for m in got] == ["The following are multiple choice questions (with answers) about SubName.\n\n" + asked, "B", asked, "B"]
 
 
+def test_prompts(spark):
+    rows = spark.createDataFrame([("tea", [[("JOY", "CALM"), ("FEAR", "JOY")], [("SAD", "CALM")]], [("q1", "a1")])], "topic string, e array<array<struct<human:string,chatbot:string>>>, done array<struct<prompt:string,completion:string>>")
+    got = rows.select(
+        templates.generation_request("S", "I", "X", "Dialogue {k} on {topic}: {turns}", F.col("topic"), F.col("e")).alias("m"), templates.family_prompt("inst", "go ", F.col("done"), F.lit("q2")).alias("p"),
+        templates.system_prompt(F.array(F.lit("JOY"), F.lit("FEAR")), ("be ", " and ", ".")).alias("s"), templates.placeholders_match(F.lit([]).cast("array<struct<role:string,content:string>>"), "<image>", F.lit([]).cast("array<string>")).alias("none"),
+    ).first()
+    assert got["m"][1]["content"] == "I\nX\nDialogue 1 on tea: JOY - CALM; FEAR - JOY\nDialogue 2 on tea: SAD - CALM"
+    assert got["p"] == "go [INST] q1 [/INST] a1</s>[INST] q2 [/INST] " and got["s"] == "be JOY and FEAR." and got["none"]
+
+
 def test_encoding(spark):
     turns = [([11, 12, 13], [14, 2]), ([15], [16, 17, 2])]
     df = spark.createDataFrame([(turns,)], "turns array<struct<source:array<int>,target:array<int>>>")
