@@ -52,6 +52,27 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)
 
 
+_TABLES: dict = {}
+
+
+def worker_table(build):
+    """build(...), kept by a Python worker for its next tasks; a worker keeps the table of one operator only."""
+
+    def get(*how):
+        key = build.__module__, build.__qualname__, how
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = build(*how)
+        return _TABLES[key]
+
+    return get
+
+
+def drop_tables() -> None:
+    """What operators without tables call in a worker before they start."""
+    _TABLES.clear()
+
+
 #: Rows in an Arrow batch, so that a batch of very long documents still fits a Python worker.
 BATCH_ROWS = 256
 

@@ -1,13 +1,17 @@
 """Token counts of whole texts, huge ones by overlapping chunks that are spliced.
 
-Short texts go to the tokenizer as they are.  A longer one is encoded in chunks
-that overlap, with offsets.  Two neighbours are spliced at a boundary that both
-have and that is proven stable: a place in the overlap where text ends and white
-space begins.  A byte-level pre-tokenizer never puts both sides of such a place
-into one piece, its look-ahead never reaches back across it, and BPE works inside
-pieces, so what stands left of it doesn't depend on the right side nor the other
-way round.  If an overlap has no such boundary, it is widened, up to the rest of
-the text.
+A huge text is encoded in chunks that overlap, with offsets.  Two neighbours are
+spliced at a boundary that both have and that is proven stable: a place in the
+overlap where text ends and white space begins.  A byte-level pre-tokenizer never
+puts both sides of such a place into one piece, its look-ahead never reaches back
+across it, and BPE works inside pieces, so what stands left of it doesn't depend
+on the right side nor the other way round.  If an overlap has no such boundary,
+it is widened, up to the rest of the text.
+
+A short text is cut at all its stable boundaries, and each distinct run between
+them is encoded once by a worker.  Texts with white space other than space, tab
+and line ends go to the tokenizer whole, and so do all texts if the tokenizer
+isn't a byte-level one as described.
 
 Defined results: a null text is empty and has 0 tokens; special strings in a
 text are matched as the tokenizer's file says; repeated rows give repeated rows;
@@ -16,6 +20,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from parlance.llm.common import small_batches, text_of
+from parlance.llm.common import small_batches, text_of, worker_table
 
 #: Characters of a chunk and of the first overlap; tokens that a text may have before it is over the limit.
 CHUNK, OVERLAP, LIMIT = 16_384, 256, 512
@@ -32,6 +37,81 @@ CHUNK, OVERLAP, LIMIT = 16_384, 256, 512
 STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85᠎​﻿])(?=[ \t\n\r])")
 
 
+#: A run from one stable boundary to the next, in a text without ODD characters.
+RUNS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Runs that a worker knows; when there are as many, they become the old ones, and the old ones go.
+KNOWN = 400_000
+#: Characters of short texts whose unknown runs are encoded together.
+TOGETHER = 2_000_000
+
+
+class Known(dict):
+    """run -> number of its tokens.  A run that isn't known is noted as missing."""
+
+    def __init__(self, old: dict[str, int]):
+        super().__init__()
+        self.old, self.missing = dict(old), set()
+
+    def __missing__(self, run: str) -> int:
+        n = self.old.get(run)
+        if n is None:
+            self.missing.add(run)
+            return 0
+        self[run] = n
+        return n
+
+
+def cuts_at_runs(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer is one for which the boundaries are proven: byte-level BPE, nothing before it, specials without white space."""
+    spec = json.loads(tokenizer.to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec.get("normalizer")
+    return plain and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+
+
+class Counter:
+    """Numbers of tokens of texts, with the runs that a worker knows."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.by_runs, self.known = tokenizer, cuts_at_runs(tokenizer), Known({})
+
+    def whole(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def short(self, texts: list[str]) -> list[int]:
+        """Of texts without a bound on their number, taken together up to TOGETHER characters."""
+        out, start = [], 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            out += self._short(texts[start:end])
+            start = end
+        return out
+
+    def _short(self, texts: list[str]) -> list[int]:
+        whole = [not self.by_runs or ODD.search(t) is not None for t in texts]
+        of_whole = iter(self.whole([t for t, w in zip(texts, whole, strict=True) if w]))
+        if len(self.known) > KNOWN:
+            self.known = Known(self.known)
+        runs = [None if w else RUNS.findall(t) for t, w in zip(texts, whole, strict=True)]
+        of_run = self.known.__getitem__
+        out = [next(of_whole) if r is None else sum(map(of_run, r)) for r in runs]
+        if missing := list(self.known.missing):
+            lack = [r is not None and not self.known.missing.isdisjoint(r) for r in runs]
+            self.known.update(zip(missing, self.whole(missing), strict=True))
+            self.known.missing = set()
+            out = [sum(map(of_run, r)) if again else n for n, r, again in zip(out, runs, lack, strict=True)]
+        return out
+
+
+@worker_table
+def counter(path: str) -> Counter:
+    return Counter(load(path))
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Tokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
@@ -79,12 +159,11 @@ def counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     small_batches(docs.sparkSession)
 
     def run(batches):
-        tokenizer = load(path)
+        count = counter(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            short = [t for t in texts if len(t) <= chunk]
-            of_short = iter([len(e) for e in tokenizer.encode_batch_fast(short, add_special_tokens=False)])
-            n = [next(of_short) if len(t) <= chunk else count_huge(tokenizer, t, chunk, overlap) for t in texts]
+            of_short = iter(count.short([t for t in texts if len(t) <= chunk]))
+            n = [next(of_short) if len(t) <= chunk else count_huge(count.tokenizer, t, chunk, overlap) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )

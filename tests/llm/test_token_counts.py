@@ -21,6 +21,18 @@ def test_splicing():
             assert token_counts.count_huge(lib, text, chunk, overlap) == want
 
 
+def test_runs_of_short_texts(monkeypatch):
+    lib, rnd = token_counts.load(PATH), random.Random(6)
+    monkeypatch.setattr(token_counts, "KNOWN", 50)
+    monkeypatch.setattr(token_counts, "TOGETHER", 500)
+    count = token_counts.Counter(lib)
+    assert count.by_runs
+    letters = "abTHE      \n\t\r\x0b\x1c\x85\xa0 　'’stld0123é中🎉.,!-_<|>"
+    plain = "abTHE      \n\t\r'’stld0123é中🎉.,!-_<|>"
+    texts = ["".join(rnd.choices(rnd.choice((letters, plain, plain)), k=rnd.randint(0, 90))) + rnd.choice(("", "<|endoftext|>", " <|endoftext|> x", "  ")) for _ in range(3000)]
+    assert count.short(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_every_row(documents, texts):
     lib = token_counts.load(PATH)
     for r in token_counts.counts(documents, PATH, chunk=2_000, overlap=64).collect():
