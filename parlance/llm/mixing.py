@@ -98,17 +98,17 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     if "mix_size" not in docs.columns:
         docs = docs.withColumn("mix_size", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long"))
     spark, sized = docs.sparkSession, docs.withColumn("mix_source", F.col("source"))
-    table = spark.createDataFrame(source_table(sized, weights, share, cap, block), "s string, mix_source_size long, docs long, mix_target double, mix_blocks long")
-    table = table.withColumn("shards", F.ceil(F.col("docs") / SHARD_DOCS))
-    dealt = sized.join(table, F.col("mix_source").eqNullSafe(F.col("s"))).withColumn("mix_order", F.xxhash64(F.lit(seed), "doc_id"))
-    dealt = dealt.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards"))).drop("s", "docs", "shards")
+    table = spark.createDataFrame(source_table(sized, weights, share, cap, block), "mix_s string, mix_source_size long, mix_docs long, mix_target double, mix_blocks long")
+    table = table.withColumn("mix_shards", F.ceil(F.col("mix_docs") / SHARD_DOCS))
+    dealt = sized.join(table, F.col("mix_source").eqNullSafe(F.col("mix_s"))).withColumn("mix_order", F.xxhash64(F.lit(seed), "doc_id"))
+    dealt = dealt.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("mix_shards"))).drop("mix_s", "mix_docs", "mix_shards")
     key = ["mix_source", "mix_shard"]
     shards = dealt.groupBy(*key, "mix_source_size", "mix_blocks").agg(F.sum("mix_size").alias("mix_shard_size"))
-    quotas = durable(shard_quotas(shards).select(F.col("mix_source").alias("s"), F.col("mix_shard").alias("h"), "mix_quota"))
+    quotas = durable(shard_quotas(shards).select(F.col("mix_source").alias("mix_s"), F.col("mix_shard").alias("mix_h"), "mix_quota"))
     shard = W.partitionBy(*key)
     dealt = dealt.withColumn("mix_end", F.sum("mix_size").over(shard.orderBy("mix_order", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, 0)))
     dealt = dealt.withColumn("mix_shard_size", F.sum("mix_size").over(shard))
-    out = dealt.join(quotas, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_shard") == F.col("h")))
+    out = dealt.join(quotas, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_shard") == F.col("mix_h")))
     words = F.least(F.col("mix_quota") * block, F.col("mix_shard_size") * cap)
     out = out.withColumn("mix_words", words)
     out = out.withColumn("mix_epochs", F.expr("IF(mix_shard_size > 0, mix_words div mix_shard_size, 0)"))

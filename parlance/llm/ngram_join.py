@@ -50,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import BROADCAST_IDS, drop_ids, durable, small_batches, text_of
+from parlance.llm.common import BROADCAST_IDS, drop_ids, drop_tables, durable, small_batches, text_of
 from parlance.llm.components import Forest, components
 
 #: Words of a shingle; least overlap in hundredths of the union.
@@ -129,6 +129,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """doc_id, n, key of each row, and slice, blob: slices of each task's sketch of its distinct sets."""
 
     def run(batches):
+        drop_tables()
         hashes, seen, counts = Hashes(), set(), np.zeros(COUNTERS, np.uint32)
         kind, waiting, size = None, [], 0
 
@@ -232,6 +233,7 @@ def candidate_edges(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int64()), pa.array(parts, pa.binary()), pa.array(edges, pa.binary())], ["bucket", "postings", "edges"])
 
     def postings(batches):
+        drop_tables()
         hashes, seen, held, n = Hashes(), set(), [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import small_batches, text_of
+from parlance.llm.common import drop_tables, small_batches, text_of
 
 #: Labelled rows that train at most, about; bits of a feature's hash; score from which a text is predicted good.
 SAMPLE, BITS, THRESHOLD = 6_000, 18, 0.3
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(marks), "doc_id")
 
     def run(batches):
+        drop_tables()
         hashes = Hashes()
         for batch in batches:
             found = [features(t, hashes, bits) for t in batch.column("text").to_pylist()]
@@ -117,6 +118,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 << bits bytes, whatever the input
 
     def run(batches):
+        drop_tables()
         (weights, bias), hashes = shared.value, Hashes()
         for batch in batches:
             z = np.array([margin(weights, bias, t, hashes, bits) for t in batch.column("text").to_pylist()], np.float64)
@@ -137,6 +139,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        drop_tables()
         (weights, bias), hashes, least = shared.value, Hashes(), np.log(THRESHOLD / (1 - THRESHOLD))
         for batch in batches:
             good = [margin(weights, bias, t or "", hashes, bits) >= least for t in batch.column("text").to_pylist()]

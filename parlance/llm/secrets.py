@@ -16,7 +16,8 @@ most ``FALSE_SHARE`` is taken; a pool without one adds nothing.
 
 Only built-in functions are used: places are summed from the pieces between the
 matches.  The histogram has one row for each encoding, length class and bin,
-whatever the input, and is gathered with map-side sums.
+whatever the input, and is gathered with map-side sums; the thresholds, one for
+each pool, become a literal of the last step.
 
 Defined results: a null or empty text has no spans, and base_sha256 is that of
 the empty string; texts are scanned whole; a candidate that overlaps a base span
@@ -146,10 +147,10 @@ def scans(docs: DataFrame) -> DataFrame:
 
     each = rows.select(F.explode("run").alias("x")).select("x.pool", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).alias("bin"))
     least = thresholds(each.groupBy("pool", "bin").agg(F.count("*").alias("n")))
-    # one row for each encoding and length class: a few hundred at most
-    table = least.groupBy(F.lit(1)).agg(F.map_from_entries(F.collect_list(F.struct("pool", "least_p"))).alias("least")).select("least")
-    rows = rows.join(F.broadcast(table), how="left")
-    good = F.filter("run", lambda x: F.coalesce(x["p"] >= F.try_element_at("least", x["pool"]), F.lit(False)))
+    # one for each encoding and length class: a few hundred at most
+    found = sorted((r["pool"], r["least_p"]) for r in least.collect())
+    table = F.map_from_arrays(F.array(*[F.lit(pool) for pool, _ in found]).cast("array<string>"), F.array(*[F.lit(p) for _, p in found]).cast("array<double>"))
+    good = F.filter("run", lambda x: F.coalesce(x["p"] >= F.try_element_at(table, x["pool"]), F.lit(False)))
     added = as_spans(good, len(BASE), KIND)
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
     return rows.select("doc_id", *[f"n_{kind}" for kind, *_ in BASE], F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", added))).alias("spans"))

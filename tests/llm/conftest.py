@@ -9,7 +9,7 @@ def awkward(spark):
         (6, "word " * 30_000, "en", "b", 150_000), (7, "naïve café ☕ 漢字 🎉 <|endoftext|> x", "fr", "b", 30), (8, "short one", "fr", None, 9), (9, "x" * 5_000, "en", "z", 5_000), (None, "a row without id", None, None, 16), (None, "a row without id", None, None, 16),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    more = "digest row key n ids n_tokens kept keep_id size target taken score labels held_out entry host spans base run media_key media_bytes block token slice blob mark found tokens".split()
+    more = "digest row key n ids n_tokens kept keep_id size target taken score labels held_out entry host spans base run media_key media_bytes block token slice blob mark found tokens s h docs shards first last pos".split()
     from pyspark.sql import functions as F
 
     return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(more)])

@@ -28,10 +28,9 @@ def test_odd_characters():
 
 
 def test_small_tables_are_emptied(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN", 20)
     monkeypatch.setattr(bpe, "TOGETHER", 60)
     cases = [f"word{k} again and word{k % 7} again" for k in range(200)]
-    small = bpe.Bpe(PATH)
+    small = bpe.Bpe(PATH, 20)
     assert list(small.encode_batch(cases)) == [e.ids for e in LIB.encode_batch(cases, add_special_tokens=False)]
 
 
