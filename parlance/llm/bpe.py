@@ -25,11 +25,9 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain, groupby
-from operator import itemgetter
+from itertools import chain
 from os.path import commonprefix
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -43,7 +41,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 BLANK = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Entries of a worker's table of known runs; when it is full, it becomes the old table, and the old one goes.
-KNOWN = 350_000
+KNOWN = 400_000
 #: Pairs of neighbours that are remembered.
 PAIRS = 150_000
 #: Characters of texts whose unknown words share one trie.
@@ -57,6 +55,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """run -> its tokens.  A run that isn't known gets a list that is filled in later, and is noted as missing."""
+
+    def __init__(self, old: dict[str, list[int]]):
+        super().__init__()
+        self.old, self.missing = dict(old), []
+
+    def __missing__(self, run: str) -> list[int]:
+        tokens = self.old.get(run)
+        if tokens is None:
+            tokens = []
+            self.missing.append(run)
+        self[run] = tokens
+        return tokens
+
+
 class Bpe:
     """The vocabulary of a byte-level BPE file of the tokenizers library."""
 
@@ -87,9 +101,7 @@ class Bpe:
             self.pair[a, b] = rank
             if self.made[whole] < 0:
                 self.made[whole], self.left[whole], self.right[whole] = rank, a, b
-        #: run -> its tokens as 32-bit numbers end to end
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known({})
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def stays(self, a: int, b: int) -> bool:
@@ -139,49 +151,37 @@ class Bpe:
                 end -= len(bytes_of[last[end]])
             yield word, tuple(reversed(out))
 
-    def learn(self, runs: set[str]) -> None:
-        """Make runs known: from the old table, or all their unknown pieces over one trie."""
+    def learn(self, runs: list[str]) -> None:
+        """Fill in the tokens of runs that the table has no tokens for yet: all their unknown pieces over one trie."""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        known, old, new, code = self.known, self.old, [], {}
+        known, old, new, code = self.known.get, self.known.old.get, [], {}
         for run in runs:
-            if (tokens := old.get(run)) is not None:
-                known[run] = tokens
-            else:
-                parts = PIECES.findall(run)
-                new.append((run, parts))
-                for x in parts:
-                    if x not in code:
-                        code[x] = known.get(x) or old.get(x)
-        for raw, tokens in self.walk({x.encode() for x, tokens in code.items() if tokens is None}):
-            code[raw.decode()] = np.array(tokens, "<u4").tobytes()
-        for run, parts in new:
-            known[run] = code[parts[0]] if len(parts) == 1 else b"".join([code[x] for x in parts])
+            parts = PIECES.findall(run)
+            new.append((self.known[run], parts))
+            for x in parts:
+                if x not in code:
+                    code[x] = known(x) or old(x)
+        for raw, tokens in self.walk({x.encode() for x, tokens in code.items() if not tokens}):
+            code[raw.decode()] = tokens
+        for tokens, parts in new:
+            tokens.extend(code[parts[0]] if len(parts) == 1 else chain.from_iterable([code[x] for x in parts]))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The tokens of each text.  Texts are taken together up to TOGETHER characters."""
         start = 0
         while start < len(texts):
             if len(self.known) > self.most:
-                self.known, self.old = {}, self.known
-            of_run, end, size, found, lacking, missing = self.known.get, start, 0, [], [], set()
+                self.known = Known(self.known)
+            of_run, end, size, found = self.known.__getitem__, start, 0, []
             while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
-                for k, part in enumerate(self.parts(texts[end])):
-                    runs = RUNS.findall(part) if not k % 2 else []
-                    tokens = list(map(of_run, runs)) if not k % 2 else [np.array([self.special[part]], "<u4").tobytes()]
-                    if None in tokens:
-                        lack = [(i, runs[i]) for i, t in enumerate(tokens) if t is None]
-                        lacking.append((tokens, lack))
-                        missing.update(run for _, run in lack)
-                    found.append((end, tokens))
+                found.append([[[self.special[part]]] if k % 2 else list(map(of_run, RUNS.findall(part))) for k, part in enumerate(self.parts(texts[end]))])
                 size += len(texts[end])
                 end += 1
-            self.learn(missing)
-            for tokens, lack in lacking:
-                for i, run in lack:
-                    tokens[i] = self.known[run]
-            for _, parts in groupby(found, key=itemgetter(0)):
-                yield np.frombuffer(b"".join(chain.from_iterable(tokens for _, tokens in parts)), "<u4").tolist()
+            self.learn(self.known.missing)
+            self.known.missing = []
+            for parts in found:
+                yield list(chain.from_iterable(chain.from_iterable(parts)))
             start = end
 
     def parts(self, text: str) -> list[str]:
@@ -220,7 +220,7 @@ def _schema(docs: DataFrame, keep: list[str], more: str) -> str:
 def encode(docs: DataFrame, path: str, text: str = "text", known: int = KNOWN) -> DataFrame:
     """docs with ids array<int> and n_tokens long in place of the text.
 
-    A worker keeps up to 2 * known runs, about 220 bytes each; fewer of them cost time, not results.
+    A worker keeps up to 2 * known runs, about 300 bytes each; fewer of them cost time, not results.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, "ids", "n_tokens")]
