@@ -158,11 +158,11 @@ def kto_metrics(t: Tables) -> DataFrame:
     return metrics.feedback_sums(rows, ["user_id", "desired"]).select("user_id", "desired", "n", F.round("reward_sum", 4).alias("reward_sum"), F.round("reward_mean", 6).alias("reward_mean"))
 
 
-@query("""SELECT event_type, user_id, event_id, round(sum(value * (1 + event_id % 4)) OVER w / sum(1 + event_id % 4) OVER w, 6) AS running
+@query("""SELECT event_type, user_id, event_id, round(sum(value * (1 + event_id % 4)) OVER w / sum(1 + event_id % 4) OVER w, 10) AS running
 FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)""")
 def running_mean(t: Tables) -> DataFrame:
     rows = t.events.withColumn("n", 1 + F.col("event_id") % 4)
-    return metrics.running_mean(rows, ["event_type", "user_id"], "event_id", "value", "n").select("event_type", "user_id", "event_id", F.round("running", 6).alias("running"))
+    return metrics.running_mean(rows, ["event_type", "user_id"], "event_id", "value", "n").select("event_type", "user_id", "event_id", F.round("running", 10).alias("running"))
 
 
 @query("""WITH RECURSIVE days AS (
