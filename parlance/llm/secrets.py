@@ -1,7 +1,7 @@
 r"""Secret scans: three fixed patterns, and a battery of randomness tests for everything else.
 
 Candidates of the battery are runs of 20 and more characters of common text
-encodings.  The narrowest alphabet that a run fits is its encoding.  Three tests
+encodings, whatever stands before and after them.  The narrowest alphabet that a run fits is its encoding.  Three tests
 ask whether the run looks like uniform random symbols of that alphabet: a
 chi-squared test of the symbols' counts, a Wald-Wolfowitz test of runs in the
 lower and upper half, and a test of the correlation of neighbours; Fisher's
@@ -43,7 +43,7 @@ BASE = (
 )
 KIND = "random"
 #: Runs that the battery looks at, and the alphabets of encodings, narrowest first, with the pattern of what fits.
-RUN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{20,}+)"
+RUN = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+)"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     ("hex", r"[0-9a-f]+", DIGITS + "abcdef"),

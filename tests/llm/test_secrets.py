@@ -84,6 +84,18 @@ def test_random_runs_are_found_and_text_is_not(spark):
     assert sum(bool(got[100 + k]) for k in range(80)) == 0
 
 
+def test_random_runs_after_an_equals_sign(spark):
+    rnd = random.Random(21)
+    key = lambda n: "".join(rnd.choices(string.ascii_letters + string.digits, k=n))
+    starts = ["AWS_SECRET_ACCESS_KEY=", "private_key=", "GET /a?sig=", "x==", "k: "]
+    rows = [(k, f"{starts[k % 5]}{key(45)}\n") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.scans(df).collect()}
+    found = [sum(f"random:{len(s)}:{len(s) + 45}" in got[k] for k in range(i, 200, 5)) for i, s in enumerate(starts)]
+    assert min(found) > 25, found
+    check(df, secrets.scans(df).collect())
+
+
 def test_awkward_rows(awkward, nothing):
     got = secrets.scans(awkward).collect()
     assert len(got) == awkward.count()
