@@ -97,6 +97,30 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out + waiting[::-1]
 
 
+def expression_end(tokens: list[str]) -> int:
+    """How many tokens the longest expression at the start has; 0 if there is none."""
+    end, depth, operand = 0, 0, True
+    for k, token in enumerate(tokens, 1):
+        if token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif token.lower() in RANK:
+            if operand:
+                break
+            operand = True
+            continue
+        elif not operand:
+            break
+        elif token == "(":
+            depth += 1
+            continue
+        operand = False
+        if not depth:
+            end = k
+    return end
+
+
 def evaluate(expression: str) -> tuple[set[str], float]:
     """The licences that an expression names, and how much it permits.
 
@@ -104,21 +128,18 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     of a comment, is ignored.
     """
     tokens = TOKEN.findall(expression)
-    for end in range(min(len(tokens), 64), 0, -1):
-        try:
-            postfix = to_postfix(tokens[:end])
-        except ValueError:
+    end = expression_end(tokens)
+    if not end:
+        return {x for t in tokens if (x := label_of(t))}, UNKNOWN if tokens else 0.0
+    stack: list[tuple[set[str], float]] = []
+    for token in to_postfix(tokens[:end]):
+        if token not in RANK:
+            label = label_of(token)
+            stack.append(({label} if label else set(), PERMITS.get(label, UNKNOWN)))
             continue
-        stack: list[tuple[set[str], float]] = []
-        for token in postfix:
-            if token not in RANK:
-                label = label_of(token)
-                stack.append(({label} if label else set(), PERMITS.get(label, UNKNOWN)))
-                continue
-            (b, y), (a, x) = stack.pop(), stack.pop()
-            stack.append({"and": (a | b, min(x, y)), "or": (a | b, max(x, y)), "with": (a, x + (1 - x) / 2)}[token])
-        return stack[0]
-    return {x for t in tokens if (x := label_of(t))}, UNKNOWN if tokens else 0.0
+        (b, y), (a, x) = stack.pop(), stack.pop()
+        stack.append({"and": (a | b, min(x, y)), "or": (a | b, max(x, y)), "with": (a, x + (1 - x) / 2)}[token])
+    return stack[0]
 
 
 @lru_cache(maxsize=1)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -25,6 +26,27 @@ def test_expressions(text, labels, score):
     assert got[0] == labels and got[1] == pytest.approx(score)
 
 
+@pytest.mark.parametrize("n", [31, 32, 33, 500])
+def test_long_expressions(n):
+    many = " AND ".join(["MIT"] * n)
+    for text in (f"{many} AND GPL-3.0-only", f"({many} AND GPL-3.0-only)", f"{many} AND GPL-3.0-only */ end", "(" * n + f"{many} AND GPL-3.0-only" + ")" * n):
+        assert licenses.evaluate(text) == ({"mit", "gpl"}, 0.3)
+
+
+def test_longest_expression_at_the_start():
+    rnd = random.Random(4)
+    for _ in range(5000):
+        tokens = rnd.choices(["MIT", "x", "AND", "or", "WITH", "(", ")"], k=rnd.randint(0, 12))
+        ends = []
+        for end in range(1, len(tokens) + 1):
+            try:
+                licenses.to_postfix(tokens[:end])
+                ends.append(end)
+            except ValueError:
+                pass
+        assert licenses.expression_end(tokens) == max(ends, default=0)
+
+
 def test_postfix():
     assert licenses.to_postfix("a OR b AND c WITH d".split()) == ["a", "b", "c", "d", "with", "and", "or"]
     for wrong in (["a", "b"], ["(", "a"], ["a", ")"], ["OR"], ["a", "AND"], ["(", ")"]):
