@@ -178,12 +178,14 @@ _TAGGED = """tagged AS (
   FROM conversations)"""
 
 
-def tagged(t: Tables) -> DataFrame:
-    bare = F.replace(F.replace("text", F.lit("("), F.lit("")), F.lit(")"), F.lit(""))
-    three = F.concat(F.lit("(ANGER) so bad. (JOY) "), F.left("text", F.lit(30)), F.lit(" (NEUTRAL) why "), F.col("turn").cast("string"), F.lit("?"))
-    two = F.concat(F.lit("(FEAR) oh no (CALM) "), F.left(bare, F.lit(20)), F.lit(". Is it "), F.col("turn").cast("string"), F.lit("?"))
-    response = F.when(F.col("turn") % 3 == 0, three).when(F.col("turn") % 3 == 1, two).otherwise(F.left("text", F.lit(50)))
-    prompt = F.concat(F.lit("("), F.upper("role"), F.lit(") "), F.left("text", F.lit(40)))
+def tagged(t: Tables, whole: bool = True) -> DataFrame:
+    """Tagged prompts and responses of whole texts, or of their starts where the SQL returns these."""
+    text, bare = F.col("text"), F.replace(F.replace("text", F.lit("("), F.lit("")), F.lit(")"), F.lit(""))
+    start = lambda x, n: x if whole else F.left(x, F.lit(n))
+    three = F.concat(F.lit("(ANGER) so bad. (JOY) "), start(text, 30), F.lit(" (NEUTRAL) why "), F.col("turn").cast("string"), F.lit("?"))
+    two = F.concat(F.lit("(FEAR) oh no (CALM) "), start(bare, 20), F.lit(". Is it "), F.col("turn").cast("string"), F.lit("?"))
+    response = F.when(F.col("turn") % 3 == 0, three).when(F.col("turn") % 3 == 1, two).otherwise(start(text, 50))
+    prompt = F.concat(F.lit("("), F.upper("role"), F.lit(") "), start(text, 40))
     return t.conversations.select("conv_id", "turn", prompt.alias("prompt"), response.alias("response"))
 
 
@@ -213,14 +215,14 @@ SELECT conv_id, turn, '(EMPATHY) so bad. (JOY) ' || trim(regexp_extract(response
   '(USER) so bad. (JOY) ' || trim(regexp_extract(response, '\\(JOY\\)((?s:.*)) \\(NEUTRAL\\)', 1), chr(32) || chr(10)) || ' (NEUTRAL) why ' || turn || '?' AS restored FROM m""")
 def role_tag_rewrite(t: Tables) -> DataFrame:
     rewritten = X.role_tags(F.col("response"))
-    rows = tagged(t).where("turn % 3 = 0").withColumn("rewritten", rewritten)
+    rows = tagged(t, whole=False).where("turn % 3 = 0").withColumn("rewritten", rewritten)
     return rows.select("conv_id", "turn", "rewritten", X.restore_tags(F.col("rewritten"), F.lit("(USER) hello")).alias("restored"))
 
 
 @query(f"""WITH {_TAGGED}, m AS (SELECT *, trim(regexp_extract(response, '\\(CALM\\)((?s:.*))$', 1), chr(32) || chr(10)) AS tail FROM tagged WHERE turn % 3 = 1)
 SELECT conv_id, turn, trim(replace('(EMPATHY) oh no (CALM) ' || trim(regexp_extract(tail, '^((?s:.*)[.!?]) ((?s:.*))$', 1), chr(32) || chr(10)) || ' (QUESTION) ' || trim(regexp_extract(tail, '^((?s:.*)[.!?]) ((?s:.*))$', 2), chr(32) || chr(10)), '  ', ' '), chr(32) || chr(10)) AS rewritten FROM m""")
 def role_tag_repair(t: Tables) -> DataFrame:
-    return tagged(t).where("turn % 3 = 1").select("conv_id", "turn", X.role_tags(F.col("response")).alias("rewritten"))
+    return tagged(t, whole=False).where("turn % 3 = 1").select("conv_id", "turn", X.role_tags(F.col("response")).alias("rewritten"))
 
 
 @query(f"WITH {_TAGGED} SELECT conv_id, turn, regexp_extract(prompt, '\\(([^)]*)\\)', 1) AS human, CASE turn % 3 WHEN 0 THEN 'JOY' WHEN 1 THEN 'CALM' END AS chatbot FROM tagged")
