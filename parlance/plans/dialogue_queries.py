@@ -304,7 +304,7 @@ def mcq_template(t: Tables) -> DataFrame:
 
 @query("""SELECT conv_id, turn, 'tool_' || turn AS name, '{"k": ' || turn || '}' AS arguments FROM conversations WHERE turn % 2 = 1""")
 def tool_extract(t: Tables) -> DataFrame:
-    said = F.concat(F.left("text", F.lit(20)), F.lit("\nAction: tool_"), F.col("turn").cast("string"), F.lit('\nAction Input: {"k": '), F.col("turn").cast("string"), F.lit("}\n"))
+    said = F.concat(F.col("text"), F.lit("\nAction: tool_"), F.col("turn").cast("string"), F.lit('\nAction Input: {"k": '), F.col("turn").cast("string"), F.lit("}\n"))
     rows = t.conversations.where("turn % 2 = 1").select("conv_id", "turn", tools.extract("default", said).alias("x"))
     return rows.select("conv_id", "turn", F.get("x.calls", F.lit(0))["name"].alias("name"), F.get("x.calls", F.lit(0))["arguments"].alias("arguments"))
 

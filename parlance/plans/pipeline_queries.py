@@ -14,7 +14,8 @@ from parlance.plans.registry import Tables, query
 @query()
 def parse_generations(t: Tables) -> DataFrame:
     """Free texts with three marked dialogues of one turn each, made of conversations, parsed to segments."""
-    six = lambda k: F.concat(F.lit(f"Dialogue {k}:\n(JOY) "), F.left("text", F.lit(30)), F.lit("\n(CALM) "), F.col("role"), F.lit("\n(FEAR) x\nStep 2: because\nStep 3: so it is\n(NEUTRAL) why?\n"))
+    one_line = F.regexp_replace("text", r"[\r\n]+", " ")
+    six = lambda k: F.concat(F.lit(f"Dialogue {k}:\n(JOY) "), one_line, F.lit("\n(CALM) "), F.col("role"), F.lit("\n(FEAR) x\nStep 2: because\nStep 3: so it is\n(NEUTRAL) why?\n"))
     rows = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.concat(six(1), six(2), six(3)).alias("completion"))
     out = parse.segments(rows, "completion", "pos")
     return out.select("UID", "DIALOGUE_ID", "SID", "SEG", F.array_join("EMOTION", "|").alias("EMOTION"))

@@ -42,3 +42,16 @@ def test_tags(spark, folder, said):
         x = of(three, r["conv_id"])
         assert (r["user_correct"], r["chatbot_correct"], r["neutral_correct"]) == tuple(sum(t[i] == want for t in x) for i, want in enumerate(("(ANGER)", "(CALM)", "(NEUTRAL)")))
     assert {(r["conv_id"], r["turn"]): (r["human"], r["chatbot"]) for r in QUERIES["pair_emotions"](spark, folder).collect()} == {(c, k): (role.upper(), ("JOY", "CALM", None)[k % 3]) for c, k, role, _ in said}
+
+
+def test_generations(spark, folder, said):
+    got = QUERIES["parse_generations"](spark, folder).where("SID = 'USER'").select("UID", "SEG").orderBy("UID").collect()
+    want = [re.sub(r"[\r\n]+", " ", text) for _, _, _, text in sorted(said) for _ in range(3)]
+    assert [r["SEG"] for r in got] == want
+
+
+def test_tool_calls(spark, tmp_path):
+    text = 'Let me look this up for you first.\nAction: look_up\nAction Input: {"q": 1}'
+    spark.createDataFrame([(1, 1, "assistant", text), (1, 3, "assistant", "nothing to call " * 9)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: (r["name"], r["arguments"]) for r in QUERIES["tool_extract"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("look_up", '{"q": 1}'), 3: ("tool_3", '{"k": 3}')}
