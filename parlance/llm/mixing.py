@@ -89,6 +89,21 @@ def shard_quotas(shards: DataFrame) -> DataFrame:
     return base.withColumn("mix_quota", F.col("mix_base") + seats)
 
 
+def shard_words(quotas: DataFrame, cap: float, block: int) -> DataFrame:
+    """Adds mix_words, the words of each shard: its blocks up to cap times its size.
+
+    What the cap cuts goes to shards of the source that have room, in their order.
+    """
+    most = F.col("mix_shard_size") * cap
+    cut = quotas.withColumn("mix_held", F.least(F.col("mix_quota") * block, most))
+    source = W.partitionBy("mix_source")
+    cut = cut.withColumn("mix_room", most - F.col("mix_held"))
+    cut = cut.withColumn("mix_lost", F.sum(F.col("mix_quota") * block - F.col("mix_held")).over(source))
+    before = F.sum("mix_room").over(source.orderBy("mix_shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("mix_room")
+    more = F.greatest(F.lit(0), F.least(F.col("mix_room"), F.col("mix_lost") - before))
+    return cut.withColumn("mix_words", F.col("mix_held") + more)
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_taken, and how the words are taken.
 
@@ -104,13 +119,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     dealt = dealt.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("mix_shards"))).drop("mix_s", "mix_docs", "mix_shards")
     key = ["mix_source", "mix_shard"]
     shards = dealt.groupBy(*key, "mix_source_size", "mix_blocks").agg(F.sum("mix_size").alias("mix_shard_size"))
-    quotas = durable(shard_quotas(shards).select(F.col("mix_source").alias("mix_s"), F.col("mix_shard").alias("mix_h"), "mix_quota"))
+    quotas = durable(shard_words(shard_quotas(shards), cap, block).select(F.col("mix_source").alias("mix_s"), F.col("mix_shard").alias("mix_h"), "mix_words"))
     shard = W.partitionBy(*key)
     dealt = dealt.withColumn("mix_end", F.sum("mix_size").over(shard.orderBy("mix_order", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, 0)))
     dealt = dealt.withColumn("mix_shard_size", F.sum("mix_size").over(shard))
     out = dealt.join(quotas, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_shard") == F.col("mix_h")))
-    words = F.least(F.col("mix_quota") * block, F.col("mix_shard_size") * cap)
-    out = out.withColumn("mix_words", words)
     out = out.withColumn("mix_epochs", F.expr("IF(mix_shard_size > 0, mix_words div mix_shard_size, 0)"))
     out = out.withColumn("mix_rest", F.col("mix_words") - F.col("mix_epochs") * F.col("mix_shard_size"))
     places = F.expr(f"(mix_shard_size - mix_rest) div {block} + 1")

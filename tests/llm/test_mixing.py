@@ -51,6 +51,16 @@ def test_many_shards(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= mixing.BLOCK * 4
 
 
+def test_many_shards_at_the_cap(spark):
+    df = spark.range(60_000).selectExpr("id AS doc_id", "IF(id < 30000, 'a', 'b') AS source", "CAST(IF(id < 30000, 1 + id % 7, 20 + id % 7) AS LONG) AS mix_size")
+    planned = mixing.plan(df).cache()
+    got = {r["source"]: r for r in planned.groupBy("source").agg({"mix_taken": "sum", "mix_target": "max", "mix_source_size": "max"}).collect()}
+    assert got["a"]["max(mix_target)"] == 2 * got["a"]["max(mix_source_size)"]
+    for r in got.values():
+        assert abs(r["sum(mix_taken)"] - r["max(mix_target)"]) <= 2 * mixing.BLOCK
+    assert planned.where("mix_taken > 2 * mix_size").count() == 0
+
+
 def test_mixture_has_what_the_plan_takes(documents):
     planned = {r["doc_id"]: r["taken"] for r in mixing.taken(documents).collect()}
     got = mixing.mix(documents)
