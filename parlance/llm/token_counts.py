@@ -162,8 +162,9 @@ def counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
         count = counter(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            of_short = iter(count.short([t for t in texts if len(t) <= chunk]))
-            n = [next(of_short) if len(t) <= chunk else count_huge(count.tokenizer, t, chunk, overlap) for t in texts]
+            spliced = [count.by_runs and len(t) > chunk for t in texts]
+            of_others = iter(count.short([t for t, s in zip(texts, spliced, strict=True) if not s]))
+            n = [count_huge(count.tokenizer, t, chunk, overlap) if s else next(of_others) for t, s in zip(texts, spliced, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )

@@ -40,6 +40,19 @@ def test_every_row(documents, texts):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 512)
 
 
+def test_tokenizers_without_proven_boundaries(spark, tmp_path):
+    lib = token_counts.load(PATH).from_file(PATH)
+    lib.add_special_tokens(["x x x"])  # has white space, so places before white space prove nothing
+    path = f"{tmp_path}/special.json"
+    lib.save(path)
+    assert not token_counts.Counter(lib).by_runs
+    rows = [(k, "x " * k) for k in range(20, 120)]
+    want = {k: len(lib.encode(t, add_special_tokens=False).ids) for k, t in rows}
+    assert any(token_counts.count_huge(lib, t, 8, 1) != want[k] for k, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.counts(df, path, chunk=8, overlap=1).collect()} == want
+
+
 def test_awkward_rows(awkward, nothing):
     lib = token_counts.load(PATH)
     want = sorted((r["doc_id"] or 0, len(lib.encode(r["text"] or "", add_special_tokens=False).ids)) for r in awkward.collect())
