@@ -24,6 +24,20 @@ def test_run(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_read_written_tables(spark, sf_dir, documents, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    out = corpus_pipeline.run(spark, sf_dir)
+    folder = spark.sparkContext.getCheckpointDir().split(":", 1)[-1]
+    assert all(folder in f for files in [*read[1:], out.inputFiles()] for f in files)
+    assert len(read) == 3 and read[0] == documents.inputFiles() and sorted(out.collect()) == sorted(documents.where("doc_id % 2 = 0").collect())
+
+
 def test_no_documents(spark, documents, sf_dir):
     docs = documents.where("false")
     for _, stage in corpus_pipeline.STAGES:
