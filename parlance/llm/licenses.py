@@ -156,7 +156,7 @@ def scan(text: str) -> dict:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = text.encode().translate(WORDS).split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    base, labels, starts, permits, tagged = set(), set(), [], [], False
+    base, labels, n_base, first, last, tagged = set(), set(), 0, len(joined), -1, False
     for end, (length, label, is_base) in automaton().iter(joined):
         if label is None:
             tagged = True
@@ -164,14 +164,16 @@ def scan(text: str) -> dict:
         labels.add(label)
         if is_base:
             base.add(label)
-            starts.append(joined.count(" ", 0, end - length + 1))
+            n_base, first, last = n_base + 1, min(first, end - length + 1), max(last, end - length + 1)
+    # the word at a place has as many spaces before it as there are words before it
+    at = [joined.count(" ", 0, k) if n_base else None for k in (first, last)]
     permits = [PERMITS[x] for x in labels]
     if tagged:
         for line in TAG_LINE.findall(text):
             named, most = evaluate(line)
             labels |= named
             permits.append(most)
-    return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": min(permits, default=0.0)}
+    return {"n_words": len(words), "n_base": n_base, "first_word": at[0], "last_word": at[1], "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": min(permits, default=0.0)}
 
 
 def scans(docs: DataFrame) -> DataFrame:
