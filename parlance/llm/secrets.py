@@ -14,8 +14,9 @@ uniform part is estimated from the histogram of p-values, what is above it at a
 threshold counts as false, and the smallest threshold with a false share of at
 most ``FALSE_SHARE`` is taken; a pool without one adds nothing.
 
-Only built-in functions are used: places are summed from the pieces between the
-matches.  The histogram has one row for each encoding, length class and bin,
+Only built-in functions are used: places are running sums over the pieces between
+the matches, and overlaps are found by bisection, so a text with n matches costs
+n log n steps.  The histogram has one row for each encoding, length class and bin,
 whatever the input, and is gathered with map-side sums; the thresholds, one for
 each pool, become a literal of the last step.
 
@@ -38,12 +39,12 @@ from parlance.llm.common import durable, text_of
 #: pattern where that finds the same places.
 BASE = (
     ("assign", r"""(?=[pPsStTaA])((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"(AKIA[A-Z0-9]{16,})", 1, 20),
-    ("hex", r"([0-9a-f]{24,})", 1, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 KIND = "random"
 #: Runs that the battery looks at, and the alphabets of encodings, narrowest first, with the pattern of what fits.
-RUN = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+)"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     ("hex", r"[0-9a-f]+", DIGITS + "abcdef"),
@@ -57,22 +58,61 @@ ENCODINGS = (
 #: Share of false discoveries in a pool, thresholds that are tried, and bins of the histogram of p-values.
 FALSE_SHARE, BINS = 0.1, 20
 FIRST_BIN = 1  # p below 1 / BINS never counts as random
+#: Characters of a run that are an array at a time.
+PIECE = 1024
+
+
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine) -> Column:
+    """The running result of an associative combine(before, x) over a non-empty array, by doubling steps: n log n in all."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, combine(F.get(acc, i - back), x)).otherwise(x))
+
+    return F.aggregate(steps, values, step)
 
 
 def places(text: Column, pattern: str, group: int) -> Column:
-    """array of (first, last, value) of the matches, in code points, last exclusive."""
+    """array of (first, last, value) of the matches, in code points, last exclusive.
+
+    Lengths of the pieces before the matches are summed up; group 0 is the whole match.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    nothing = F.expr("CAST(array() AS array<struct<first:int,last:int,value:string>>)")
+    lengths = F.zip_with(before, whole, lambda a, b: F.length(a) + F.length(b))
+    parts = F.arrays_zip(running(lengths, lambda a, b: a + b).alias("last"), whole.alias("whole"), value.alias("value"))
+    found = F.transform(parts, lambda x: F.struct((x["last"] - F.length(x["whole"])).alias("first"), x["last"].alias("last"), x["value"].alias("value")))
+    return F.when(F.size(whole) > 0, found).otherwise(F.expr("CAST(array() AS array<struct<first:int,last:int,value:string>>)"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.length(x["0"])
-        last = first + F.length(x["1"])
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("first"), last.alias("last"), x["2"].alias("value")))).alias("out"))
 
-    summed = F.aggregate(F.arrays_zip(before, whole, value), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(whole) > 0, summed).otherwise(nothing)
+def apart(runs: Column, spans: Column) -> Column:
+    """The runs that no span overlaps; spans are sorted by first.
+
+    A run meets a span if the last ends of those that begin before its end reaches into it; how many these are is found by bisection.
+    """
+    ends = running(F.transform(spans, lambda y: y["last"]), lambda a, b: F.greatest(a, b))
+
+    def free(x: Column, spans: Column, ends: Column) -> Column:
+        def halve(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+            before = F.get(spans, middle)["first"] < x["last"]
+            open_ = acc["low"] < acc["high"]
+            return F.struct(F.when(open_ & before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(acc["high"]).alias("high"))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans).cast("double"))).cast("int"))
+        found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda acc: acc["low"])
+        return (found == 0) | (F.get(ends, found - 1) <= x["first"])
+
+    # spans and their running ends are computed once a text, then looked up for each run
+    kept = let(F.struct(spans.alias("spans"), ends.alias("ends")), lambda b: F.filter(runs, lambda x: free(x, b["spans"], b["ends"])))
+    return F.when((F.size(spans) == 0) | (F.size(runs) == 0), runs).otherwise(kept)
 
 
 def long_enough(found: Column, least: int) -> Column:
@@ -91,25 +131,48 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(value: Column, alphabet: Column) -> Column:
-    """The combined p-value of a run as uniform random symbols of an alphabet."""
-    m, n = F.length(alphabet).cast("double"), F.length(value).cast("double")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    squares = total(F.transform(F.split(alphabet, ""), lambda c: F.pow(n - F.length(F.replace(value, c, F.lit(""))), F.lit(2))))
-    chi, df = squares * m / n - n, m - 1
+    """The combined p-value of a run as uniform random symbols of an alphabet.
+
+    Symbols are counted by what is left without each, and neighbours are multiplied
+    in pieces, so a run of any length costs its own bytes and no array of its symbols.
+    """
+    m, n = F.length(alphabet).cast("double"), F.octet_length(value).cast("double")
+    centre = lambda c: F.instr(alphabet, c).cast("double") - (m + 1) / 2
+    counted = F.transform(F.split(alphabet, ""), lambda c: F.struct((n - F.octet_length(F.replace(value, c, F.lit("")))).alias("n"), centre(c).alias("x")))
+    sums = F.aggregate(
+        counted,
+        F.struct(*[F.lit(0.0).alias(k) for k in ("nn", "x", "xx")]),
+        lambda s, c: F.struct((s["nn"] + c["n"] * c["n"]).alias("nn"), (s["x"] + c["n"] * c["x"]).alias("x"), (s["xx"] + c["n"] * c["x"] * c["x"]).alias("xx")),
+    )
+
+    def products(acc: Column, piece: Column) -> Column:
+        """The last symbol so far, and the sum of the products of neighbours."""
+        one = lambda s, c: F.struct(centre(c).alias("last"), (s["sum"] + s["last"] * centre(c)).alias("sum"))
+        return F.aggregate(F.split(piece, ""), acc, one)
+
+    pieces = F.regexp_extract_all(value, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    multiplied = F.aggregate(pieces, F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("sum")), products)
+    lower = F.ceil(m / 2).cast("int")
+    halves = F.call_function("translate", value, alphabet, F.concat(F.repeat(F.lit("0"), lower), F.repeat(F.lit("1"), m.cast("int") - lower)))
+    turns = lambda h: F.regexp_count(h, F.lit("01")) + F.regexp_count(h, F.lit("10"))
+    upper = lambda h: n - F.octet_length(F.replace(h, F.lit("1"), F.lit("")))
+    ones = let(halves, lambda h: F.struct((n - upper(h)).alias("lower"), upper(h).alias("upper"), turns(h).alias("turns")))
+    known = F.struct(n.alias("n"), m.alias("m"), sums.alias("s"), multiplied.alias("p"), ones.alias("h"), centre(F.left(value, F.lit(1))).alias("first"))
+    return let(let(known, tests), lambda q: F.exp(-q) * (1 + q + q * q / 2))
+
+
+def tests(v: Column) -> Column:
+    """Minus the logarithm of the product of the three p-values, from the sums over a run."""
+    n, m = v["n"], v["m"]
+    chi, df = v["s"]["nn"] * m / n - n, m - 1
     z1 = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    x = F.transform(F.split(value, ""), lambda c: F.instr(alphabet, c).cast("double") - (m + 1) / 2)
-    halves = F.array_join(F.transform(x, lambda v: F.when(v > 0, "1").otherwise("0")), "")
-    ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-    mean = 2 * ones * (n - ones) / n + 1
-    spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-    z2 = (1 + F.regexp_count(halves, F.lit("01")) + F.regexp_count(halves, F.lit("10")) - mean) / spread
-    middle = total(x) / n
-    square = F.greatest(total(F.transform(x, lambda v: v * v)) - n * middle * middle, F.lit(1e-9))
-    neighbours = total(F.zip_with(F.slice(x, F.lit(1), (n - 1).cast("int")), F.slice(x, F.lit(2), (n - 1).cast("int")), lambda a, b: (a - middle) * (b - middle)))
+    mean = 2 * v["h"]["upper"] * v["h"]["lower"] / n + 1
+    z2 = (1 + v["h"]["turns"] - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
+    middle = v["s"]["x"] / n
+    square = F.greatest(v["s"]["xx"] - n * middle * middle, F.lit(1e-9))
+    neighbours = v["p"]["sum"] - middle * (2 * v["s"]["x"] - v["first"] - v["p"]["last"]) + (n - 1) * middle * middle
     z3 = (neighbours / square + 1 / n) * F.sqrt(n)
-    p = [upper_tail(z1), 2 * upper_tail(F.abs(z2)), 2 * upper_tail(F.abs(z3))]
-    fisher = -reduce(lambda a, b: a + b, [F.log(F.least(F.lit(1.0), q)) for q in p])
-    return F.exp(-fisher) * (1 + fisher + fisher * fisher / 2)
+    return -reduce(lambda a, b: a + b, [F.log(F.least(F.lit(1.0), q)) for q in (upper_tail(z1), 2 * upper_tail(F.abs(z2)), 2 * upper_tail(F.abs(z3)))])
 
 
 def judged(runs: Column) -> Column:
@@ -139,11 +202,10 @@ def scans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of("text").alias("text"))
     for kind, pattern, group, least in BASE:
         rows = rows.withColumn(kind, long_enough(places(text, pattern, group), least))
-    rows = rows.withColumn("run", places(text, RUN, 1))
+    rows = rows.withColumn("run", places(text, RUN, 0))
     spans = [as_spans(F.col(kind), k, kind) for k, (kind, *_) in enumerate(BASE)]
     rows = rows.select("doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in BASE], F.array_sort(F.concat(*spans)).alias("base"), "run")
-    free = F.filter("run", lambda x: ~F.exists("base", lambda y: (y["first"] < x["last"]) & (x["first"] < y["last"])))
-    rows = durable(rows.withColumn("run", judged(free)))
+    rows = durable(rows.withColumn("run", judged(apart(F.col("run"), F.col("base")))))
 
     each = rows.select(F.explode("run").alias("x")).select("x.pool", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).alias("bin"))
     least = thresholds(each.groupBy("pool", "bin").agg(F.count("*").alias("n")))

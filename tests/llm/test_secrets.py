@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,6 +97,58 @@ def test_random_runs_after_an_equals_sign(spark):
     check(df, secrets.scans(df).collect())
 
 
+def brute_force(texts):
+    """The spans of each text, with the pools, thresholds and overlaps worked out plainly."""
+    cand = []
+    for t in texts:
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t):
+            fits = next(((name, alphabet) for name, fit, alphabet in secrets.ENCODINGS if re.fullmatch(fit, m.group())), None)
+            if fits and not any(a < m.end() and m.start() < b for a, b in base):
+                cand.append((t, m.start(), m.end(), (fits[0], math.floor(2 * math.log2(len(m.group())))), p_value(m.group(), fits[1])))
+    least = {}
+    for pool in {c[3] for c in cand}:
+        p = [c[4] for c in cand if c[3] == pool]
+        above = {b: sum(x >= b / secrets.BINS for x in p) for b in range(1, secrets.BINS)}
+        uniform = min(above[b] / (1 - b / secrets.BINS) for b in range(1, secrets.BINS // 2 + 1))
+        for b in range(secrets.BINS // 2, 0, -1):
+            if above[b] and above[b] - uniform * (1 - b / secrets.BINS) <= secrets.FALSE_SHARE * above[b]:
+                least[pool] = b / secrets.BINS
+    out = {}
+    for t in texts:
+        spans = [(int(x.split(":")[1]), [k for k, *_ in KINDS].index(x.split(":")[0]), int(x.split(":")[2]), x.split(":")[0]) for x in base_spans(t)]
+        spans += [(a, 3, b, secrets.KIND) for of, a, b, pool, p in cand if of is t and p >= least.get(pool, 2)]
+        out[t] = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+    return out
+
+
+def test_spans_agree_with_brute_force(spark):
+    rnd = random.Random(31)
+    made = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    letters = [string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", "aeiou", "theandingofto"]
+    starts = ["", "é ", "token=", "secret: ", "url?sig=", "AKIA", "🎉"]
+    texts = [" ".join(rnd.choice(starts) + made(rnd.choice(letters), rnd.randint(8, 70)) for _ in range(rnd.randint(0, 9))) for _ in range(600)]
+    texts = list(dict.fromkeys(texts))
+    got = secrets.scans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = brute_force(texts)
+    assert any("random" in x for x in want.values()) and any("hex" in x and "random" in x for x in want.values())
+    for r in got:
+        assert r["spans"] == want[texts[r["doc_id"]]]
+
+
+def test_many_matches_and_long_runs(spark):
+    rnd = random.Random(5)
+    key = lambda n: "".join(rnd.choices(string.ascii_letters + string.digits, k=n))
+    dump = " ".join(f"{rnd.getrandbits(128):032x}" for _ in range(100_000))
+    mixed = " ".join(key(30) for _ in range(20_000)) + " token=abcdefgh" * 20_000
+    rows = [(1, dump), (2, mixed), (3, key(3_000_000))]
+    start = time.time()
+    got = secrets.scans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.time() - start < 120
+    assert {r["doc_id"]: (r["n_hex"], r["n_assign"]) for r in got} == {1: (100_000, 0), 2: (0, 20_000), 3: (0, 0)}
+    check(spark.createDataFrame(rows, "doc_id long, text string"), got)
+
+
 def test_awkward_rows(awkward, nothing):
     got = secrets.scans(awkward).collect()
     assert len(got) == awkward.count()
