@@ -73,15 +73,32 @@ def drop_tables() -> None:
     _TABLES.clear()
 
 
-#: Rows in an Arrow batch, so that a batch of very long documents still fits a Python worker.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch, so that a batch of very long documents still fits a Python worker.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that Spark sends to a Python worker at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Bound the rows and bytes that Spark sends to a Python worker at once.
+
+    Settings of the session that are tighter stay.  A plan reads them when it runs,
+    which is after its operator has returned, so they aren't taken back.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name, "0").rstrip("b") or 0) <= most:
+            spark.conf.set(name, most)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, if a table of few files and row groups would leave cores idle; for work that costs more than a shuffle.
+
+    Tables of many files are as they were: only those of fewer files than cores are asked
+    how many of their partitions have rows, which reads no column.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) >= cores or docs.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count() >= cores:
+        return docs
+    return docs.repartition(cores)
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
