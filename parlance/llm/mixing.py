@@ -3,142 +3,179 @@
 Targets come from water-filling: the mixture's words are shared by weight, a
 source's share stops at ``cap`` times its size, and the excess is shared again.
 The mixture is cut into blocks of ``block`` words; sources get whole blocks by
-the highest quotients target / (2 seats + 1), and in the same way each source's
-blocks are dealt to its shards, which are hash groups of about
-``SHARD_DOCS`` documents.  In a shard the documents stand in a seeded order;
-full epochs over them come first, and a seeded run of consecutive blocks is the
-rest, so that all but two documents of a shard are taken whole.
-
-A source is split into shards before any window, so a source that holds a third
-of all rows is many small groups.  Only the table of sources (one row each) and
-nothing that grows with the documents comes to the driver.
+the highest quotients target / (2 seats + 1).  A source's documents are dealt to
+shards by a hash, about ``SHARD_DOCS`` to each, and in the same way its blocks
+go to the shards with the highest quotients size / (2 seats + 1), where a shard
+stops at cap times its size; words that make no whole block go to the first
+shards with room.  In a shard the documents stand in a seeded order; full epochs
+over them come first, and a seeded run of consecutive words is the rest, so that
+all but two documents of a shard are taken whole.
+
+A source of more than ``FAN`` shards (256,000 documents) is apportioned in
+levels: its blocks go to FAN groups of shards at most, those of a group to its
+parts, and so on, so no task ever sees more than FAN rows of a source, however
+many documents it has.  Only the table of sources (one row each) comes to the
+driver.  Sizes are counted in one pass; another one sends each text through one
+shuffle, to its shard.
 
 Defined results: a null text has no words; a null source is a source of its
 own, the last one; empty documents take 0 words; repeated rows are separate
-documents; reruns agree as the order is (seeded hash, doc_id, size).  An empty
-table gives an empty result.  ``mix`` keeps all columns, ``plan`` uses names
-that start with ``mix_``.
+documents; reruns agree as the order is that of seeded hashes, doc_id, size and
+text.  An empty table gives an empty result.  All columns of the input are kept
+by ``mix`` and ignored otherwise, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.llm.common import WORD, durable, text_of
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-BLOCK, SHARD_DOCS, SEED = 64, 256, 17
+BLOCK, SHARD_DOCS, FAN, SEED = 64, 256, 1000, 17
+
+
+def words_of(text: str = "text") -> Column:
+    return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float = CAP) -> list[float]:
-    """Shares of total by weight, none above cap times its size while others have room."""
-    out, room, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
-    while room:
-        unit = left / sum(weights[i] for i in room)
-        full = [i for i in room if unit * weights[i] > cap * sizes[i]]
-        if not full:
-            for i in room:
-                out[i] = unit * weights[i]
+    """Shares of total by weight, none above cap times its size while others have room.
+
+    Sources are filled in the order of cap * size / weight: one is full if the
+    unit that is left, when all before it are full, is above that.
+    """
+    left, weight, full = float(total), sum(weights), set()
+    for i in sorted(range(len(sizes)), key=lambda i: cap * sizes[i] / weights[i]):
+        if left / weight <= cap * sizes[i] / weights[i]:
             break
-        for i in full:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-        room = [i for i in room if i not in set(full)]
-    return out
+        full.add(i)
+        left, weight = left - cap * sizes[i], weight - weights[i]
+    return [float(cap * sizes[i]) if i in full else left / weight * weights[i] for i in range(len(sizes))]
 
 
-def sainte_lague(targets: list[float], seats: int) -> list[int]:
-    """Seats by the highest quotients target / (2 n + 1); ties go to the first.
+def highest_quotients(shares, seats: int, most=None) -> list[int]:
+    """Seats by the highest quotients share / (2 n + 1), up to most[i] of each; ties go to the first.
 
-    Rounding with the ideal divisor gives a prefix of the sequence of quotients;
-    it is then continued or taken back one seat at a time.
+    Rounding with the ideal divisor comes close; from there seats are added, taken
+    back or exchanged one at a time until none that is held has a lower quotient
+    than one that isn't.
     """
-    total = sum(targets)
-    if total <= 0 or seats <= 0:
-        return [0] * len(targets)
-    out = [int(t * seats / total + 0.5) for t in targets]
-    while (gap := seats - sum(out)) != 0:
+    shares = np.asarray(shares, np.float64)
+    most = np.full(len(shares), np.iinfo(np.int64).max) if most is None else np.asarray(most, np.int64)
+    most = np.where(shares > 0, most, 0)
+    if not len(shares) or seats <= 0 or not most.any():
+        return [0] * len(shares)
+    seats = min(seats, sum(most.tolist()))
+    out = np.minimum(np.floor(shares * (seats / shares.sum()) + 0.5).astype(np.int64), most)
+    more = np.where(out < most, shares / (2 * out + 1), -1.0)
+    least = np.where(out > 0, shares / np.maximum(2 * out - 1, 1), np.inf)
+
+    def move(i: int, by: int) -> None:
+        out[i] += by
+        more[i] = shares[i] / (2 * out[i] + 1) if out[i] < most[i] else -1.0
+        least[i] = shares[i] / (2 * out[i] - 1) if out[i] else np.inf
+
+    while True:
+        gap = seats - int(out.sum())
+        up, down = int(np.argmax(more)), len(out) - 1 - int(np.argmin(least[::-1]))
         if gap > 0:
-            out[max(range(len(out)), key=lambda i: (targets[i] / (2 * out[i] + 1), -i))] += 1
+            move(up, 1)
+        elif gap < 0:
+            move(down, -1)
+        elif (more[up], -up) > (least[down], -down) and up != down:
+            move(up, 1)
+            move(down, -1)
         else:
-            out[min((i for i in range(len(out)) if out[i]), key=lambda i: (targets[i] / (2 * out[i] - 1), -i))] -= 1
-    return out
+            return out.tolist()
 
 
-def source_table(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> list[tuple]:
-    """(source, size, docs, target, blocks) of each source in code point order, null last."""
-    rows = sized.groupBy("mix_source").agg(F.sum("mix_size").alias("size"), F.count("*").alias("docs")).collect()
-    rows = sorted(rows, key=lambda r: (r["mix_source"] is None, r["mix_source"] or ""))
-    sizes = [r["size"] for r in rows]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), cap)
-    quotas = sainte_lague(targets, round(sum(targets) / block))
-    return [(r["mix_source"], r["size"], r["docs"], t, q) for r, t, q in zip(rows, targets, quotas, strict=True)]
+def deal(sizes, words: int, cap: float = CAP, block: int = BLOCK) -> list[int]:
+    """The words of each shard of a source or group: whole blocks by quotients, then what is left to the first with room."""
+    sizes = np.asarray(sizes, np.int64)
+    held = np.floor(cap * sizes).astype(np.int64)
+    out = np.array(highest_quotients(sizes, words // block, held // block), np.int64) * block
+    room = held - out
+    return (out + np.clip(words - out.sum() - (np.cumsum(room) - room), 0, room)).tolist()
 
 
-def shard_quotas(shards: DataFrame) -> DataFrame:
-    """Adds mix_quota, the blocks of each shard: rounded shares, then one seat more or less by quotient."""
-    share = F.expr("IF(mix_source_size > 0, mix_blocks * (mix_shard_size / mix_source_size), 0)")
-    base = shards.withColumn("mix_base", F.floor(share + 0.5))
-    source = W.partitionBy("mix_source")
-    base = base.withColumn("mix_gap", F.col("mix_blocks") - F.sum("mix_base").over(source))
-    more = F.row_number().over(source.orderBy(F.expr("mix_shard_size / (2 * mix_base + 1)").desc(), "mix_shard"))
-    less = F.row_number().over(source.orderBy(F.expr("IF(mix_base > 0, mix_shard_size / (2 * mix_base - 1), double('infinity'))"), "mix_shard"))
-    seats = F.when((F.col("mix_gap") > 0) & (more <= F.col("mix_gap")), 1).when((F.col("mix_gap") < 0) & (less <= -F.col("mix_gap")) & (F.col("mix_base") > 0), -1).otherwise(0)
-    return base.withColumn("mix_quota", F.col("mix_base") + seats)
+def source_table(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> list[tuple]:
+    """(source, size, docs, target, words) of each source in code point order, null last; words is what the mixture takes."""
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
+    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
+    size = [r["size"] for r in rows]
+    targets = water_fill(size, [weights[i % len(weights)] for i in range(len(rows))], share * sum(size), cap)
+    quotas = highest_quotients(targets, int(sum(size) * min(share, cap) / block + 0.5))
+    return [(r["source"], r["size"], r["docs"], t, min(q * block, int(cap * r["size"]))) for r, t, q in zip(rows, targets, quotas, strict=True)]
 
 
-def shard_words(quotas: DataFrame, cap: float, block: int) -> DataFrame:
-    """Adds mix_words, the words of each shard: its blocks up to cap times its size.
+def shard_words(shards: DataFrame, words: DataFrame, levels: int, cap: float, block: int, fan: int) -> DataFrame:
+    """s, h, words of each shard.  shards: s, h, size; words: s, words of each source, by the number s."""
 
-    What the cap cuts goes to shards of the source that have room, in their order.
-    """
-    most = F.col("mix_shard_size") * cap
-    cut = quotas.withColumn("mix_held", F.least(F.col("mix_quota") * block, most))
-    source = W.partitionBy("mix_source")
-    cut = cut.withColumn("mix_room", most - F.col("mix_held"))
-    cut = cut.withColumn("mix_lost", F.sum(F.col("mix_quota") * block - F.col("mix_held")).over(source))
-    before = F.sum("mix_room").over(source.orderBy("mix_shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("mix_room")
-    more = F.greatest(F.lit(0), F.least(F.col("mix_room"), F.col("mix_lost") - before))
-    return cut.withColumn("mix_words", F.col("mix_held") + more)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        return pa.table({"s": table["s"], "h": table["part"], "words": pa.array(deal(table["size"].to_numpy(), table["words"][0].as_py(), cap, block), pa.int64())})
+
+    groups = words.select("s", F.lit(0).cast("long").alias("h"), "words")
+    for level in range(1, levels + 1):
+        parts = shards.groupBy("s", F.expr(f"h div {fan ** (levels - level)}L").alias("part")).agg(F.sum("size").alias("size"))
+        parts = parts.withColumn("h", F.expr(f"part div {fan}L") if level > 1 else F.lit(0).cast("long"))
+        groups = parts.join(groups, ["s", "h"]).groupBy("s", "h").applyInArrow(run, "s int, h long, words long")
+    return groups
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_taken, and how the words are taken.
+def plan(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED, shard_docs: int = SHARD_DOCS, fan: int = FAN) -> DataFrame:
+    """row, a struct of the columns of docs, with size, source_size, target, taken, and how the words are taken.
 
-    mix_epochs counts whole copies; words mix_from to mix_to (end exclusive) are
-    taken once more.  A column mix_size is used as it is if docs has it.
+    epochs counts whole copies; words first to last (exclusive) are taken once
+    more.  size is the number of words, counted in text if it isn't given.
     """
-    if "mix_size" not in docs.columns:
-        docs = docs.withColumn("mix_size", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long"))
-    spark, sized = docs.sparkSession, docs.withColumn("mix_source", F.col("source"))
-    table = spark.createDataFrame(source_table(sized, weights, share, cap, block), "mix_s string, mix_source_size long, mix_docs long, mix_target double, mix_blocks long")
-    table = table.withColumn("mix_shards", F.ceil(F.col("mix_docs") / SHARD_DOCS))
-    dealt = sized.join(table, F.col("mix_source").eqNullSafe(F.col("mix_s"))).withColumn("mix_order", F.xxhash64(F.lit(seed), "doc_id"))
-    dealt = dealt.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("mix_shards"))).drop("mix_s", "mix_docs", "mix_shards")
-    key = ["mix_source", "mix_shard"]
-    shards = dealt.groupBy(*key, "mix_source_size", "mix_blocks").agg(F.sum("mix_size").alias("mix_shard_size"))
-    quotas = durable(shard_words(shard_quotas(shards), cap, block).select(F.col("mix_source").alias("mix_s"), F.col("mix_shard").alias("mix_h"), "mix_words"))
-    shard = W.partitionBy(*key)
-    dealt = dealt.withColumn("mix_end", F.sum("mix_size").over(shard.orderBy("mix_order", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, 0)))
-    dealt = dealt.withColumn("mix_shard_size", F.sum("mix_size").over(shard))
-    out = dealt.join(quotas, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_shard") == F.col("mix_h")))
-    out = out.withColumn("mix_epochs", F.expr("IF(mix_shard_size > 0, mix_words div mix_shard_size, 0)"))
-    out = out.withColumn("mix_rest", F.col("mix_words") - F.col("mix_epochs") * F.col("mix_shard_size"))
-    places = F.expr(f"(mix_shard_size - mix_rest) div {block} + 1")
-    out = out.withColumn("mix_start", block * F.pmod(F.xxhash64(F.lit(seed + 2), "mix_source", "mix_shard"), places))
-    begin = F.col("mix_end") - F.col("mix_size")
-    out = out.withColumn("mix_from", F.greatest(F.lit(0), F.col("mix_start") - begin))
-    out = out.withColumn("mix_to", F.least(F.col("mix_size"), F.col("mix_start") + F.col("mix_rest") - begin))
-    out = out.withColumn("mix_taken", F.col("mix_epochs") * F.col("mix_size") + F.greatest(F.lit(0), F.col("mix_to") - F.col("mix_from")))
-    return out.select(*[c for c in docs.columns if c != "mix_size"], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_epochs", "mix_from", "mix_to")
-
-
-def taken(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    digits = lambda of, at: F.conv(F.substring(of, at, 15), 16, 10).cast("long")
+    hashed = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), "source", F.coalesce(words_of() if size is None else size, F.lit(0)).alias("size"), hashed.alias("hash"), F.col("doc_id").alias("id"), tie.alias("tie"))
+    sizes = durable(rows.select("source", "size", digits("hash", 16).alias("place")))
+    found = source_table(sizes, weights, share, cap, block)
+    count = [max(1, -(-docs_ // shard_docs)) for _, _, docs_, _, _ in found]
+    table = [(k, name, n, of, target, words) for k, ((name, of, _, target, words), n) in enumerate(zip(found, count, strict=True))]
+    table = spark.createDataFrame(table, "s int, name string, shards long, source_size long, target double, words long")
+    levels = 1
+    while fan**levels < max(count, default=1):
+        levels += 1
+
+    def in_shards(df: DataFrame, place: Column, *more: str) -> DataFrame:
+        """df with the number of its source, the shard, and more of the table."""
+        keep = df.columns
+        return df.join(table, F.col("source").eqNullSafe(F.col("name"))).select(*keep, "s", F.pmod(place, F.col("shards")).alias("h"), *more)
+
+    shards = durable(in_shards(sizes, F.col("place")).groupBy("s", "h").agg(F.sum("size").alias("size")))
+    quotas = durable(shard_words(shards, table.select("s", "words"), levels, cap, block, fan))
+
+    dealt = in_shards(rows, digits("hash", 16), "source_size", "target").withColumn("order", digits("hash", 1))
+    # the join with the shards' words goes by the keys of the windows, so a row is sent once
+    shard = W.partitionBy("s", "h")
+    dealt = dealt.withColumn("end", F.sum("size").over(shard.orderBy("order", "id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)))
+    out = dealt.join(quotas.join(shards.withColumnRenamed("size", "of"), ["s", "h"]), ["s", "h"])
+    out = out.withColumn("epochs", F.expr("IF(of > 0, words div of, 0)"))
+    out = out.withColumn("rest", F.col("words") - F.col("epochs") * F.col("of"))
+    places = F.expr(f"(of - rest) div {block} + 1")
+    out = out.withColumn("start", block * F.pmod(digits(F.md5(F.concat_ws("|", "s", "h", F.lit(str(seed)))), 1), places))
+    begin = F.col("end") - F.col("size")
+    out = out.withColumn("first", F.least(F.col("size"), F.greatest(F.lit(0), F.col("start") - begin)))
+    out = out.withColumn("last", F.greatest(F.col("first"), F.least(F.col("size"), F.col("start") + F.col("rest") - begin)))
+    out = out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("last") - F.col("first"))
+    return out.select("row", "size", "source_size", "target", "taken", "epochs", "first", "last")
+
+
+def taken(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of docs."""
-    sized = durable(docs.select("doc_id", "source", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("mix_size")))
-    return plan(sized).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    sized = durable(docs.select("doc_id", "source", words_of().alias("size")))
+    return plan(sized, F.col("size"), **how).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -146,14 +183,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     A part has its words joined by one space, and its own n_chars if docs has that column.
     """
-    planned = plan(docs, **how).withColumn("mix_part", F.greatest(F.lit(0), F.col("mix_to") - F.col("mix_from")))
-    whole = F.col("mix_part") == F.col("mix_size")
-    copies = F.col("mix_epochs") + F.when((F.col("mix_part") > 0) & whole, 1).otherwise(0)
-    kinds = F.concat(F.array_repeat(F.lit(True), copies.cast("int")), F.when((F.col("mix_part") > 0) & ~whole, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = planned.withColumn("mix_whole", F.explode(kinds))
-    words = F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0))
-    cut = F.concat_ws(" ", F.slice(words, (F.col("mix_from") + 1).cast("int"), F.col("mix_part").cast("int")))
-    rows = rows.withColumn("text", F.when(F.col("mix_whole"), F.col("text")).otherwise(cut))
+    part = F.col("last") - F.col("first")
+    whole = part == F.col("size")
+    copies = F.col("epochs") + F.when((part > 0) & whole, 1).otherwise(0)
+    kinds = F.concat(F.array_repeat(F.lit(True), copies.cast("int")), F.when((part > 0) & ~whole, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    rows = plan(docs, **how).withColumn("whole", F.explode(kinds))
+    words = F.regexp_extract_all(text_of("row.text"), F.lit(WORD), F.lit(0))
+    cut = F.concat_ws(" ", F.slice(words, (F.col("first") + 1).cast("int"), part.cast("int")))
+    made = {"text": F.when(F.col("whole"), F.col("row.text")).otherwise(cut)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_whole"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length(cut).cast("long"))
+    return rows.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

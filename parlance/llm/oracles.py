@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parlance.llm.mixing import BLOCK, CAP, SEED, SHARD_DOCS, SHARE, WEIGHTS
 from parlance.llm.url_lists import CHANGES
 
 OP1 = r"""
@@ -60,5 +61,63 @@ FROM captures c LEFT JOIN found f USING (page_id)
 """
 
 
+#: Sources of up to FAN shards, 256,000 documents: one level of shards.
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+         md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), '{SEED}')) AS h
+  FROM documents
+),
+named AS (
+  SELECT source, sum(size)::BIGINT AS size, greatest(1, -(-count(*) // {SHARD_DOCS})) AS shards,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s
+  FROM d GROUP BY source
+),
+weighted AS (SELECT *, ([{", ".join(map(str, WEIGHTS))}])[1 + s % {len(WEIGHTS)}] AS weight, (SELECT sum(size) FROM named) AS total FROM named),
+filled AS (
+  SELECT *, {CAP} * size / weight AS ratio,
+         ({SHARE} * total - {CAP} * (sum(size) OVER w - size)) / sum(weight) OVER (ORDER BY {CAP} * size / weight DESC, s DESC ROWS UNBOUNDED PRECEDING) AS unit
+  FROM weighted WINDOW w AS (ORDER BY {CAP} * size / weight, s ROWS UNBOUNDED PRECEDING)
+),
+rest AS (SELECT ({SHARE} * any_value(total) - {CAP} * coalesce(sum(size) FILTER (unit > ratio), 0)) / sum(weight) FILTER (unit <= ratio) AS unit FROM filled),
+sources AS (
+  SELECT f.s, f.source, f.size, f.shards, f.total, CAST(CASE WHEN f.unit > f.ratio THEN {CAP} * f.size ELSE r.unit * f.weight END AS DOUBLE) AS target
+  FROM filled f, rest r
+),
+blocks AS (SELECT CAST(floor({SHARE} * total / {BLOCK} + 0.5) AS BIGINT) AS n FROM sources LIMIT 1),
+source_seats AS (
+  SELECT s, unnest(range(CAST(2 * target / {BLOCK} + 3 AS BIGINT))) AS k, target FROM sources WHERE target > 0
+),
+source_blocks AS (
+  SELECT s, count(*) AS n FROM (SELECT s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS rank FROM source_seats), blocks WHERE rank <= blocks.n GROUP BY s
+),
+words AS (SELECT s.*, least(coalesce(b.n, 0) * {BLOCK}, {CAP} * s.size) AS words FROM sources s LEFT JOIN source_blocks b USING (s)),
+dealt AS (
+  SELECT d.doc_id, d.size, w.s, ('0x' || substr(d.h, 16, 15))::BIGINT % w.shards AS shard, ('0x' || substr(d.h, 1, 15))::BIGINT AS place, w.size AS source_size, w.target
+  FROM d JOIN words w ON d.source IS NOT DISTINCT FROM w.source
+),
+shards AS (SELECT s, shard, sum(size)::BIGINT AS size FROM dealt GROUP BY s, shard),
+shard_seats AS (SELECT s, shard, size, unnest(range({CAP} * size // {BLOCK})) AS k FROM shards WHERE size > 0),
+shard_blocks AS (
+  SELECT s, shard, count(*) AS n
+  FROM (SELECT s, shard, row_number() OVER (PARTITION BY s ORDER BY size / (2 * k + 1) DESC, shard, k) AS rank FROM shard_seats) JOIN words USING (s)
+  WHERE rank <= words.words // {BLOCK} GROUP BY s, shard
+),
+held AS (SELECT h.s, h.shard, h.size, coalesce(b.n, 0) * {BLOCK} AS held, {CAP} * h.size - coalesce(b.n, 0) * {BLOCK} AS room FROM shards h LEFT JOIN shard_blocks b USING (s, shard)),
+shard_words AS (
+  SELECT h.s, h.shard, h.size, h.held + greatest(0, least(h.room, w.words - sum(h.held) OVER (PARTITION BY h.s) - (sum(h.room) OVER (PARTITION BY h.s ORDER BY h.shard) - h.room))) AS words
+  FROM held h JOIN words w USING (s)
+),
+runs AS (
+  SELECT *, CASE WHEN size > 0 THEN words // size ELSE 0 END AS epochs, words - CASE WHEN size > 0 THEN words // size ELSE 0 END * size AS rest FROM shard_words
+),
+starts AS (SELECT *, {BLOCK} * (('0x' || substr(md5(concat_ws('|', s, shard, '{SEED}')), 1, 15))::BIGINT % ((size - rest) // {BLOCK} + 1)) AS start FROM runs),
+ends AS (SELECT *, sum(size) OVER (PARTITION BY s, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop FROM dealt)
+SELECT e.doc_id, e.size, e.source_size, e.target,
+       CAST(x.epochs * e.size + greatest(0, least(e.stop, x.start + x.rest) - greatest(e.stop - e.size, x.start)) AS BIGINT) AS taken
+FROM ends e JOIN starts x USING (s, shard)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op6_url_lists": OP6, "op3_exact_dedup": OP3}
+    return {"op2_source_mixing": OP2, "op1_ngram_join": OP1, "op6_url_lists": OP6, "op3_exact_dedup": OP3}
