@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -85,7 +86,8 @@ def small_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(spark.conf.get(name, "0").rstrip("b") or 0) <= most:
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(name).strip().lower()).groups()
+        if not 0 < int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] <= most:
             spark.conf.set(name, most)
 
 

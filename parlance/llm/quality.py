@@ -3,19 +3,21 @@
 A text becomes its hashed words and word pairs, each weighted by the root of its
 share among them - a vector of length 1 - so a score is one sparse dot product.
 Words are runs of letters and digits or of other signs.  The model is fitted on the driver from a
-bounded sample of labelled rows (``SAMPLE``, chosen by a hash of doc_id) whose
-features are made on the executors; scoring covers every row.
+bounded sample of labelled rows, the ``SAMPLE`` rows with the smallest hashes of
+doc_id, whose features are made on the executors; of a text with more than
+``MOST`` features the heaviest train.  Scoring covers every row and all features.
 
 Defined results: a null or empty text has no features and gets the score of the
 bias; texts of any length are read whole; rows whose label or doc_id is null
-don't train; several labels of one doc_id are averaged; repeated rows give
-repeated rows; without any labelled row every score is 0.5; an empty table
+don't train; several labels of one doc_id are averaged; repeated rows each
+train, within the sample, and give repeated rows; without any labelled row every score is 0.5; an empty table
 gives an empty result; other columns are kept by ``keep_good`` and not read by
 ``scores``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -24,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import drop_tables, small_batches, text_of
+from parlance.llm.common import drop_tables, small_batches, spread, text_of
 
-#: Labelled rows that train at most, about; bits of a feature's hash; score from which a text is predicted good.
-SAMPLE, BITS, THRESHOLD = 6_000, 18, 0.3
+#: Labelled rows that train at most, and features of each; bits of a feature's hash; score from which a text is predicted good.
+SAMPLE, MOST, BITS, THRESHOLD = 6_000, 4_096, 18, 0.3
 #: FTRL-proximal: learning rate, its offset, penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 4.0, 1.0, 0.01, 0.01, 8
 WORDS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -61,25 +63,36 @@ def margin(weights: np.ndarray, bias: float, text: str, hashes: Hashes, bits: in
     return bias + float(weights[found] @ x)
 
 
+def heaviest(found: np.ndarray, x: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the most weight, in their order; ties go to the smallest numbers."""
+    if len(found) <= most:
+        return found, x
+    keep = np.sort(np.argsort(-x, kind="stable")[:most])
+    return found[keep], x[keep]
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias after passes of follow-the-regularised-leader updates, in the order of rows."""
     size = (1 << bits) + 1  # the last one is the bias, without L1
     z, n = np.zeros(size), np.zeros(size)
-    l1 = np.full(size, L1)
-    l1[-1] = 0
+    bias = np.array([size - 1])
+    rows = [(np.concatenate((found, bias)), np.append(x, 1.0).astype(np.float64), label) for found, x, label in rows]
 
-    def weights(at):
-        return np.where(np.abs(z[at]) <= l1[at], 0.0, (np.sign(z[at]) * l1[at] - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+    def weights(z_at: np.ndarray, root: np.ndarray) -> np.ndarray:
+        pull = np.clip(z_at, -L1, L1)
+        pull[-1] = 0
+        return (pull - z_at) / (root / ALPHA + (BETA / ALPHA + L2))
 
     for _ in range(epochs):
-        for found, x, label in rows:
-            at, x = np.append(found, size - 1), np.append(x, 1.0)
-            w = weights(at)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - step * w
-            n[at] += g * g
-    w = weights(np.arange(size))
+        for at, x, label in rows:
+            z_at, n_at = z[at], n[at]
+            root = np.sqrt(n_at)
+            w = weights(z_at, root)
+            g = (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x))))) - label) * x
+            n_at += g * g
+            z[at] = z_at + g - (np.sqrt(n_at) - root) / ALPHA * w
+            n[at] = n_at
+    w = weights(z, np.sqrt(n))
     return w[:-1].astype(np.float32), float(w[-1])
 
 
@@ -92,23 +105,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
     """Train on the rows of docs that labels.quality marks and that aren't held out."""
     small_batches(docs.sparkSession)
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("mark")).where(fold() != 0)
-    total = marks.count()
-    if total > sample:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    # at most about sample rows, whatever the input: small enough to broadcast
+    # at most sample rows, whatever the input: small enough to broadcast
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(marks), "doc_id")
 
     def run(batches):
         drop_tables()
         hashes = Hashes()
         for batch in batches:
-            found = [features(t, hashes, bits) for t in batch.column("text").to_pylist()]
+            found = [heaviest(*features(t, hashes, bits)) for t in batch.column("text").to_pylist()]
             parts = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *parts], ["doc_id", "mark", "found", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, mark double, found binary, x binary").collect()
-    order = sorted(got, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), bytes(r["found"])))
+    made = rows.mapInArrow(run, f"doc_id {kind}, mark double, found binary, x binary")
+    # repeated doc_ids have more rows than marks: again the first ones by hash, at most sample * MOST features
+    order = made.orderBy(F.xxhash64("doc_id"), "doc_id", "found", "x").limit(sample).collect()
     return train([(np.frombuffer(r["found"], np.int32), np.frombuffer(r["x"], np.float32), float(r["mark"] >= 0.5)) for r in order], bits)
 
 
@@ -127,7 +139,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return spread(docs).select("doc_id", held, text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -> DataFrame:
@@ -145,4 +157,4 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS
             good = [margin(weights, bias, t or "", hashes, bits) >= least for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -1,5 +1,10 @@
+import math
+import random
 import zlib
 
+import numpy as np
+import pytest
+
 from parlance.llm import quality, queries
 
 
@@ -22,6 +27,59 @@ def test_held_out_labels_are_not_used(spark, documents, sf_dir):
     assert (a[0] == b[0]).all() and a[1] == b[1]
 
 
+def plain_ftrl(rows, epochs):
+    """FTRL-proximal a coordinate at a time, over dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0 if i == "bias" else quality.L1
+        if abs(z.get(i, 0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for found, x, label in rows:
+            pairs = [*zip(found.tolist(), x.tolist()), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / quality.ALPHA
+                z[i] = z.get(i, 0) + g - sigma * w[i]
+                n[i] = n.get(i, 0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_agrees_with_plain_ftrl():
+    rnd, hashes = random.Random(9), quality.Hashes()
+    words = ["good", "bad", "fine", "junk", "the", "a", "of", "x1", "z"]
+    rows = []
+    for _ in range(200):
+        text = " ".join(rnd.choices(words, k=rnd.randint(0, 12)))
+        rows.append((*quality.features(text, hashes, 10), float("good" in text)))
+    weights, bias = quality.train(rows, 10, 3)
+    want = plain_ftrl(rows, 3)
+    assert bias == pytest.approx(want.pop("bias"))
+    assert {i: pytest.approx(w, abs=1e-6) for i, w in want.items() if w} == {int(i): float(weights[i]) for i in np.flatnonzero(weights)}
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.range(3000).selectExpr("id % 40 AS doc_id", "concat('w', id, ' a b c') AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "id % 2 AS quality")
+    seen = []
+    train = quality.train
+    quality.train = lambda rows, bits: seen.append(len(rows)) or train(rows, bits)
+    try:
+        a, b = quality.fit(docs, labels, 25), quality.fit(docs.repartition(7), labels, 25)
+        quality.fit(docs, labels, 5000)
+    finally:
+        quality.train = train
+    assert seen[:2] == [25, 25] and seen[2] == docs.where(quality.fold() != 0).count()
+    assert (a[0] == b[0]).all() and a[1] == b[1]
+    found, x = np.arange(10, dtype=np.int32), np.array([1, 3, 2, 3, 1, 1, 1, 1, 1, 9], np.float32)
+    assert quality.heaviest(found, x, 4)[0].tolist() == [1, 2, 3, 9]
+
+
 def test_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (7, None), (None, 1), (8, 1), (9, 0)], "doc_id long, quality int").selectExpr("*", "'x' AS text")
     model = quality.fit(awkward, labels)
