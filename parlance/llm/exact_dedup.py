@@ -4,8 +4,9 @@ A frequent-items sketch (Misra-Gries counters, merged map-side) names the
 digests that may be frequent.  Their groups are counted exactly, and the
 verified winners - at most ``HEAVY`` rows - are broadcast, so that copies of a
 frequent text are decided where they are read and never meet in one task.
-Every other digest goes through an ordinary shuffle; the sketch's error bound
-keeps such a group below ``3.5 / TRACKED`` of all rows.
+Every other digest goes through an ordinary shuffle: its size and first row are
+aggregated map-side and joined to its rows, which adaptive execution may split.
+The sketch's error bound keeps such a group below ``3.5 / TRACKED`` of all rows.
 
 Defined results: a null text is an empty one, so null and empty texts are
 copies of each other.  Among copies the smallest doc_id stays, null ids come
@@ -42,26 +43,31 @@ def frequent(digests: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) ->
     return [x["item"] for row in top.collect() for x in row["top"] or [] if x["count"] > 1]
 
 
-def winners(rows: DataFrame, heavy: list[str]) -> DataFrame:
-    """Exact size and first row of each frequent group: digest, w_size, w_id, w_row."""
+def groups(rows: DataFrame) -> DataFrame:
+    """Exact size and first row of each group of copies: digest, w_size, w_id, w_row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = rows.where(F.col("digest").isin(heavy)).groupBy("digest").agg(F.count("*").alias("w_size"), first.alias("w"))
-    return groups.where("w_size > 1").select("digest", "w_size", F.col("w.doc_id").alias("w_id"), F.col("w.row").alias("w_row"))
+    found = rows.groupBy("digest").agg(F.count("*").alias("w_size"), first.alias("w")).where("w_size > 1")
+    return found.select("digest", "w_size", F.col("w.doc_id").alias("w_id"), F.col("w.row").alias("w_row"))
+
+
+def winners(rows: DataFrame, heavy: list[str]) -> DataFrame:
+    """The groups that are frequent."""
+    return groups(rows.where(F.col("digest").isin(heavy)))
 
 
 def decide(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
     rows = durable(docs.select("doc_id", digest_of().alias("digest"), F.monotonically_increasing_id().alias("row")))
     found = durable(winners(rows, frequent(rows, heavy, tracked)))
-    split = rows.join(F.broadcast(found), "digest", "left")
-    hot = split.where("w_size IS NOT NULL").select(
-        "doc_id", F.col("w_id").alias("keep_id"), F.col("w_size").alias("group_size"), (F.col("row") == F.col("w_row")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
-    group = W.partitionBy("digest")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).over(group)
-    cold = split.where("w_size IS NULL").select("doc_id", "digest", "row", F.count("*").over(group).alias("group_size"), first.alias("first"))
-    cold = cold.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.col("digest").alias("text_sha256"))
-    return hot.unionByName(cold)
+
+    def decided(marked: DataFrame) -> DataFrame:
+        single = F.col("w_size").isNull()
+        keep = F.when(single, F.col("doc_id")).otherwise(F.col("w_id"))
+        return marked.select("doc_id", keep.alias("keep_id"), F.coalesce("w_size", F.lit(1).cast("long")).alias("group_size"), (single | (F.col("row") == F.col("w_row"))).alias("kept"), F.col("digest").alias("text_sha256"))
+
+    hot = rows.join(F.broadcast(found), "digest")
+    cold = rows.join(F.broadcast(found.select("digest")), "digest", "left_anti")
+    return decided(hot).unionByName(decided(cold.join(groups(cold), "digest", "left")))
 
 
 def dedup(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
