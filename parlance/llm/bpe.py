@@ -33,15 +33,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import small_batches, text_of, worker_table
+from parlance.llm.common import small_batches, spread, text_of, worker_table
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A run of white space with the text after it.  No piece goes from text to white space, so pieces never cross these.
 BLANK = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-#: Entries of a worker's table of known runs; when it is full, it becomes the old table, and the old one goes.
-KNOWN = 400_000
+#: Bytes of a worker's table of known runs, about; when it is full, it becomes the old table, and the old one goes.
+KNOWN = 120 << 20
+#: Characters from which a run isn't kept: lines of languages without spaces, encoded data.
+LONG = 64
 #: Pairs of neighbours that are remembered.
 PAIRS = 150_000
 #: Characters of texts whose unknown words share one trie.
@@ -60,7 +62,7 @@ class Known(dict):
 
     def __init__(self, old: dict[str, list[int]]):
         super().__init__()
-        self.old, self.missing = dict(old), []
+        self.old, self.missing, self.size = dict(old), [], 0
 
     def __missing__(self, run: str) -> list[int]:
         tokens = self.old.get(run)
@@ -68,8 +70,17 @@ class Known(dict):
             tokens = []
             self.missing.append(run)
         self[run] = tokens
+        if len(run) < LONG:
+            self.size += 220 + 14 * len(run)  # the entry, its string, and a token for every two characters
         return tokens
 
+    def forget(self) -> None:
+        """Drop the long runs among those that were missing."""
+        for run in self.missing:
+            if len(run) >= LONG:
+                del self[run]
+        self.missing = []
+
 
 class Bpe:
     """The vocabulary of a byte-level BPE file of the tokenizers library."""
@@ -171,7 +182,7 @@ class Bpe:
         """The tokens of each text.  Texts are taken together up to TOGETHER characters."""
         start = 0
         while start < len(texts):
-            if len(self.known) > self.most:
+            if self.known.size > self.most:
                 self.known = Known(self.known)
             of_run, end, size, found = self.known.__getitem__, start, 0, []
             while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
@@ -179,7 +190,7 @@ class Bpe:
                 size += len(texts[end])
                 end += 1
             self.learn(self.known.missing)
-            self.known.missing = []
+            self.known.forget()
             for parts in found:
                 yield list(chain.from_iterable(chain.from_iterable(parts)))
             start = end
@@ -200,12 +211,12 @@ def load(path: str, most: int = KNOWN) -> Bpe:
 
 
 def _encoded(path: str, keep: list[str], results, most: int = KNOWN):
-    """A function for mapInArrow: the columns of keep, then what results makes of (bpe, ids)."""
+    """A function for mapInArrow over the columns of keep and the text: the former, then what results makes of (bpe, ids)."""
 
     def run(batches):
         bpe = load(path, most)
         for batch in batches:
-            rows = [results(bpe, ids) for ids in bpe.encode_batch(batch.column("__text").to_pylist())]
+            rows = [results(bpe, ids) for ids in bpe.encode_batch(batch.column(len(keep)).to_pylist())]
             made = {name: [r[name] for r in rows] for name in results(bpe, [])}
             fields = {name: pa.array(v, pa.list_(pa.int32()) if name == "ids" else None if v and isinstance(v[0], str) else pa.int64() if name == "n_tokens" else pa.string()) for name, v in made.items()}
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *fields.values()], [*keep, *fields])
@@ -220,12 +231,12 @@ def _schema(docs: DataFrame, keep: list[str], more: str) -> str:
 def encode(docs: DataFrame, path: str, text: str = "text", known: int = KNOWN) -> DataFrame:
     """docs with ids array<int> and n_tokens long in place of the text.
 
-    A worker keeps up to 2 * known runs, about 300 bytes each; fewer of them cost time, not results.
+    A worker's tables of runs hold about 2 * known bytes; smaller ones cost time, not results.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, "ids", "n_tokens")]
     run = _encoded(path, keep, lambda bpe, ids: {"ids": ids, "n_tokens": len(ids)}, known)
-    return docs.select(*keep, text_of(text).alias("__text")).mapInArrow(run, _schema(docs, keep, "ids array<int>, n_tokens long"))
+    return spread(docs).select(*keep, text_of(text).alias("_" * (1 + max(map(len, docs.columns))))).mapInArrow(run, _schema(docs, keep, "ids array<int>, n_tokens long"))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -250,5 +261,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         listed = ",".join(map(bpe.text_of.__getitem__, ids))
         return {"n_tokens": len(ids), "ids_sha256": sha256(listed.encode()).hexdigest(), "decoded_sha256": sha256(bpe.decode(ids).encode()).hexdigest()}
 
-    rows = docs.select("doc_id", text_of("text").alias("__text"))
+    rows = spread(docs).select("doc_id", text_of("text"))
     return rows.mapInArrow(_encoded(path, ["doc_id"], results), _schema(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -9,9 +9,10 @@ on the right side nor the other way round.  If an overlap has no such boundary,
 it is widened, up to the rest of the text.
 
 A short text is cut at all its stable boundaries, and each distinct run between
-them is encoded once by a worker.  Texts with white space other than space, tab
-and line ends go to the tokenizer whole, and so do all texts if the tokenizer
-isn't a byte-level one as described.
+them is encoded once by a worker, which keeps what it knows of short runs within
+``KNOWN`` bytes.  Texts with white space other than space, tab and line ends go to
+the tokenizer whole, and so do all texts, huge ones too, if the tokenizer isn't a
+byte-level one as described, for which no boundary is proven.
 
 Defined results: a null text is empty and has 0 tokens; special strings in a
 text are matched as the tokenizer's file says; repeated rows give repeated rows;
@@ -27,21 +28,22 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from parlance.llm.common import small_batches, text_of, worker_table
+from parlance.llm.common import small_batches, spread, text_of, worker_table
 
 #: Characters of a chunk and of the first overlap; tokens that a text may have before it is over the limit.
 CHUNK, OVERLAP, LIMIT = 16_384, 256, 512
 #: Text ends and white space begins.  Only characters that every library takes for white space, or for none.
 STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85᠎​﻿])(?=[ \t\n\r])")
-
-
 #: A run from one stable boundary to the next, in a text without ODD characters.
 RUNS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: Runs that a worker knows; when there are as many, they become the old ones, and the old ones go.
-KNOWN = 400_000
+#: Bytes of the runs that a worker knows, about; when they are more, these become the old ones, and the old ones go.
+KNOWN = 60 << 20
+#: Characters from which a run isn't kept: lines of languages without spaces, encoded data.
+LONG = 64
 #: Characters of short texts whose unknown runs are encoded together.
 TOGETHER = 2_000_000
 
@@ -51,16 +53,28 @@ class Known(dict):
 
     def __init__(self, old: dict[str, int]):
         super().__init__()
-        self.old, self.missing = dict(old), set()
+        self.old, self.missing, self.size = dict(old), set(), 0
 
     def __missing__(self, run: str) -> int:
         n = self.old.get(run)
         if n is None:
             self.missing.add(run)
             return 0
-        self[run] = n
+        self.keep(run, n)
         return n
 
+    def keep(self, run: str, n: int) -> None:
+        self[run] = n
+        if len(run) < LONG:
+            self.size += 160 + 2 * len(run)
+
+    def forget(self) -> None:
+        """Drop the long runs among those that were missing."""
+        for run in self.missing:
+            if len(run) >= LONG:
+                del self[run]
+        self.missing = set()
+
 
 def cuts_at_runs(tokenizer: Tokenizer) -> bool:
     """Whether the tokenizer is one for which the boundaries are proven: byte-level BPE, nothing before it, specials without white space."""
@@ -73,10 +87,13 @@ def cuts_at_runs(tokenizer: Tokenizer) -> bool:
 class Counter:
     """Numbers of tokens of texts, with the runs that a worker knows."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.by_runs, self.known = tokenizer, cuts_at_runs(tokenizer), Known({})
+    def __init__(self, tokenizer: Tokenizer | SentencePieceProcessor):
+        self.tokenizer, self.known = tokenizer, Known({})
+        self.by_runs = isinstance(tokenizer, Tokenizer) and cuts_at_runs(tokenizer)
 
     def whole(self, texts: list[str]) -> list[int]:
+        if isinstance(self.tokenizer, SentencePieceProcessor):
+            return [len(ids) for ids in self.tokenizer.encode(texts, num_threads=1)]
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def short(self, texts: list[str]) -> list[int]:
@@ -94,16 +111,17 @@ class Counter:
     def _short(self, texts: list[str]) -> list[int]:
         whole = [not self.by_runs or ODD.search(t) is not None for t in texts]
         of_whole = iter(self.whole([t for t, w in zip(texts, whole, strict=True) if w]))
-        if len(self.known) > KNOWN:
+        if self.known.size > KNOWN:
             self.known = Known(self.known)
         runs = [None if w else RUNS.findall(t) for t, w in zip(texts, whole, strict=True)]
         of_run = self.known.__getitem__
         out = [next(of_whole) if r is None else sum(map(of_run, r)) for r in runs]
         if missing := list(self.known.missing):
             lack = [r is not None and not self.known.missing.isdisjoint(r) for r in runs]
-            self.known.update(zip(missing, self.whole(missing), strict=True))
-            self.known.missing = set()
+            for run, n in zip(missing, self.whole(missing), strict=True):
+                self.known.keep(run, n)
             out = [sum(map(of_run, r)) if again else n for n, r, again in zip(out, runs, lack, strict=True)]
+            self.known.forget()
         return out
 
 
@@ -113,7 +131,10 @@ def counter(path: str) -> Counter:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Tokenizer:
+def load(path: str) -> Tokenizer | SentencePieceProcessor:
+    """The tokenizer of a file: sentencepiece for .model, tokenizers for any other."""
+    if path.endswith(".model"):
+        return SentencePieceProcessor(model_file=path)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
@@ -170,4 +191,4 @@ def counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(docs).select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -30,11 +30,14 @@ def test_odd_characters():
 def test_small_tables_are_emptied(monkeypatch):
     monkeypatch.setattr(bpe, "TOGETHER", 60)
     cases = [f"word{k} again and word{k % 7} again" for k in range(200)]
-    small = bpe.Bpe(PATH, 20)
+    cases += ["漢字仮名" * 40 + f" x{k}" for k in range(20)]
+    small = bpe.Bpe(PATH, 6_000)
     assert list(small.encode_batch(cases)) == [e.ids for e in LIB.encode_batch(cases, add_special_tokens=False)]
+    assert all(len(run) < bpe.LONG for run in [*small.known, *small.known.old]) and small.known.size < 12_000
 
 
 def test_awkward_rows_and_round_trip(awkward, nothing):
+    awkward = awkward.selectExpr("*", "1 AS __text", "2 AS _")
     coded = bpe.encode(awkward, PATH)
     assert set(coded.columns) == set(awkward.columns) - {"text"}
     back = bpe.decode(coded, PATH)

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pytest
 
 from parlance.llm import token_counts
 
@@ -23,14 +24,15 @@ def test_splicing():
 
 def test_runs_of_short_texts(monkeypatch):
     lib, rnd = token_counts.load(PATH), random.Random(6)
-    monkeypatch.setattr(token_counts, "KNOWN", 50)
+    monkeypatch.setattr(token_counts, "KNOWN", 9_000)
     monkeypatch.setattr(token_counts, "TOGETHER", 500)
     count = token_counts.Counter(lib)
     assert count.by_runs
     letters = "abTHE      \n\t\r\x0b\x1c\x85\xa0 　'’stld0123é中🎉.,!-_<|>"
     plain = "abTHE      \n\t\r'’stld0123é中🎉.,!-_<|>"
-    texts = ["".join(rnd.choices(rnd.choice((letters, plain, plain)), k=rnd.randint(0, 90))) + rnd.choice(("", "<|endoftext|>", " <|endoftext|> x", "  ")) for _ in range(3000)]
+    texts = ["".join(rnd.choices(rnd.choice((letters, plain, plain)), k=rnd.randint(0, 90))) + rnd.choice(("", "<|endoftext|>", " <|endoftext|> x", "  ", "漢字" * 60)) for _ in range(3000)]
     assert count.short(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(run) < token_counts.LONG for run in [*count.known, *count.known.old]) and count.known.size < 20_000
 
 
 def test_every_row(documents, texts):
@@ -53,6 +55,16 @@ def test_tokenizers_without_proven_boundaries(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.counts(df, path, chunk=8, overlap=1).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers(documents, texts, name):
+    path = public_tokenizers.path(name)
+    lib = token_counts.load(path)
+    assert not token_counts.Counter(lib).by_runs
+    want = (lambda t: len(lib.encode(t))) if name.endswith(".model") else (lambda t: len(lib.encode(t, add_special_tokens=False).ids))
+    for r in token_counts.counts(documents, path, chunk=200, overlap=8).collect():
+        assert r["n_tokens"] == want(texts[r["doc_id"]])
+
+
 def test_awkward_rows(awkward, nothing):
     lib = token_counts.load(PATH)
     want = sorted((r["doc_id"] or 0, len(lib.encode(r["text"] or "", add_special_tokens=False).ids)) for r in awkward.collect())
