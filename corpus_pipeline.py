@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """ids and n_tokens in place of the text.  The workers' tables are small, as other stages' workers live beside them."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), known=60_000)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), known=18 << 20)
 
 
 STAGES = [
