@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Edges are first contracted inside each partition by union-find, so what is
-shuffled are spanning forests.  Each round then hangs every node on the smallest
+shuffled are spanning forests.  Forests of ``FEW`` edges and less are joined by
+one task in the same way.  Beyond that each round hangs every node on the smallest
 node next to it; rounds are written to the shared checkpoint folder and end when
 nothing changes.  A node that has a third of all edges is aggregated map-side, and
 adaptive execution splits its side of the join.
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import durable
 
-#: Nodes that a task's union-find may have before it is sent on.
-NODES = 500_000
+#: Nodes that a task's union-find may have before it is sent on, and edges that one task joins (about 40 MB).
+NODES, FEW = 500_000, 300_000
 
 
 class Forest(dict):
@@ -52,10 +53,23 @@ def _contract(batches):
     yield edges(forest)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _finish(batches):
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            forest.join(a, b)
+    roots = {x: forest.root(x) for x in list(forest)}
+    nodes = [*roots, *set(roots.values())]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([roots.get(x, x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node, root of each node that has an edge; edges has long columns a and b, root is the smallest node of the component."""
     small = lambda df: durable(df.where("a <> b").distinct())
-    state = small(edges.where("a <> b").mapInArrow(_contract, "a long, b long"))
+    state = durable(edges.where("a <> b").mapInArrow(_contract, "a long, b long"))
+    if state.limit(few + 1).count() <= few:
+        return durable(state.coalesce(1).mapInArrow(_finish, "node long, root long"))
+    state = small(state)
     while True:
         # large star: from each node its larger neighbours go to its smallest one
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))

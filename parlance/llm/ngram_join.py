@@ -13,22 +13,32 @@ those that occur T times on the inverted lists of its shingles.
    Each task joins its own nodes first and sends one interval of sizes for each
    shingle, so the list of a shingle is as long as the number of tasks, not as
    the number of documents that have it.
-3. In each block, lists are built over all shingles of its nodes and searched by
+3. A block of more than HOT shingles is cut again: nodes that don't share enough
+   shingles with the rest of it altogether leave it, the shingles of the others are
+   counted anew, apart for each block, and steps 1 and 2 are repeated with these
+   counts until blocks are small or don't shrink.
+4. In each block, lists are built over all shingles of its nodes and searched by
    DivideSkip: short lists are merged by a heap, nodes that occur often enough on
    them are looked up in the L long lists by binary search, and nodes with the
-   required overlap link.  Counts there are exact set intersections.
-4. A block of more than HOT shingles is split.  Nodes that don't share enough
-   shingles with the rest of it altogether leave it.  A hub, which shares most
-   with a sample, takes all nodes that link with it; only the others are queries,
-   and chunks of queries are searched against chunks of all nodes of the block.
+   required overlap link.  Counts there are exact set intersections.  A node is
+   first compared with the one that stands first on most of its lists; what is
+   connected with it then needs no search and goes from the lists, so a group of
+   near copies costs about its size and not its pairs.
+5. A block that is still too large is one group of near copies as a rule.  Its hub,
+   which shares most with a sample, takes all nodes that link with it; only the
+   others are queries.  Sizes differ by a quarter at most in a link, so nodes are
+   dealt to bands of sizes, and chunks of queries are searched against chunks of
+   the bands next to theirs.
 
 Nodes that are connected already aren't compared again, so a group of near
 copies isn't expanded into its pairs, and no link between different groups is
 lost.  Sizes of tasks are bounded by HOT, BUCKET and the sketch; none depends on
 how the documents repeat.
 
-Two different shingles, or sets, have the same 64-bit hash with a chance of
-5e-20 a pair; nothing else here is left to chance.
+Sets are the same if two 64-bit hashes of them are: the first names the node, the
+second is compared where copies are grouped, and names the sets of a name that
+two different sets have.  A shingle is a 64-bit hash, so two different ones count
+as one with a chance of 5e-20 a pair; nothing else here is left to chance.
 
 Defined results: a null or empty text, and one without words, has no shingles
 and links with nothing; a shorter text is one shingle; texts are read whole;
@@ -41,7 +51,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +59,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import BROADCAST_IDS, drop_ids, drop_tables, durable, small_batches, text_of
-from parlance.llm.components import Forest, components
+from parlance.llm.common import BROADCAST_IDS, drop_ids, drop_tables, durable, small_batches, spread, text_of
+from parlance.llm.components import components
 
 #: Words of a shingle; least overlap in hundredths of the union.
 N, PERCENT = 5, 80
@@ -59,7 +68,9 @@ N, PERCENT = 5, 80
 COUNTERS, SLICES = 1 << 22, 64
 SHIFT = np.uint64(42)  # a token's counter is its top bits
 #: Postings of a bucket and shingles of a group of small blocks, about; shingles from which a block is split; postings that a task holds.
-BUCKET, GROUP, HOT, HELD = 200_000, 400_000, 200_000, 400_000
+BUCKET, GROUP, HOT, HELD = 200_000, 400_000, 400_000, 400_000
+#: Times that a large block is cut again, as long as that makes the large ones a tenth smaller.
+CUTS = 4
 #: DivideSkip's weight of a lookup in a long list against a step of the merge.
 MU = 0.0085
 #: Nodes of a split block among which its hub is chosen, about.
@@ -101,9 +112,15 @@ def shingles(text: str, hashes: Hashes) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def key_of(tokens: np.ndarray) -> int:
-    """The node of a set: a signed 64-bit hash of all its shingles."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def key_of(tokens: np.ndarray, clashing: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """The node of a set: a signed 64-bit hash of all its shingles, or another one where different sets have the first."""
+    key = (xxhash.xxh3_64_intdigest(tokens.tobytes()) >> (64 - bits)) - (1 << 63)
+    return check_of(tokens) if key in clashing else key
+
+
+def check_of(tokens: np.ndarray) -> int:
+    """A second hash of a set."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=N) - (1 << 63)
 
 
 def required(size: int) -> int:
@@ -125,41 +142,54 @@ def _seen(seen: set, key: int) -> bool:
     return False
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key of each row, and slice, blob: slices of each task's sketch of its distinct sets."""
+class Sketch:
+    """The frequencies of a task's shingles."""
 
-    def run(batches):
-        drop_tables()
-        hashes, seen, counts = Hashes(), set(), np.zeros(COUNTERS, np.uint32)
-        kind, waiting, size = None, [], 0
+    def __init__(self):
+        self.counts, self.waiting, self.size = np.zeros(COUNTERS, np.uint32), [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.size += len(tokens)
+        if self.size > HELD:
+            self.count()
+
+    def count(self) -> None:
+        if self.waiting:
+            self.counts += np.bincount((np.concatenate(self.waiting) >> SHIFT).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            self.waiting, self.size = [], 0
 
-        def count() -> None:
-            if waiting:
-                counts[:] += np.bincount((np.concatenate(waiting) >> SHIFT).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                waiting.clear()
+    def slices(self) -> tuple[pa.Array, pa.Array]:
+        """slice, blob of each slice."""
+        self.count()
+        pack = zstandard.ZstdCompressor(1)
+        return pa.array(range(SLICES), pa.int32()), pa.array([pack.compress(part.tobytes()) for part in np.split(self.counts, SLICES)], pa.binary())
 
+
+def profile(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, n, key, check of each row, and slice, blob: slices of each task's sketch of its distinct sets."""
+
+    def run(batches):
+        drop_tables()
+        hashes, seen, sketch, kind = Hashes(), set(), Sketch(), None
+        names = ["doc_id", "n", "key", "check", "slice", "blob"]
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            n, keys = [], []
+            n, keys, checks = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingles(text, hashes)
                 n.append(len(tokens))
-                keys.append(key_of(tokens) if len(tokens) else None)
-                if len(tokens) and not _seen(seen, keys[-1]):
-                    waiting.append(tokens)
-                    size += len(tokens)
-                    if size > HELD:
-                        count()
-                        size = 0
+                keys.append(key_of(tokens, bits=bits) if len(tokens) else None)
+                checks.append(check_of(tokens) if len(tokens) else None)
+                if len(tokens) and not _seen(seen, checks[-1]):
+                    sketch.add(tokens)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "key", "slice", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, keys, checks)], none.cast(pa.int32()), none.cast(pa.binary())], names)
         if kind is not None:
-            count()
-            none, pack = pa.nulls(SLICES), zstandard.ZstdCompressor(1)
-            blobs = [pack.compress(part.tobytes()) for part in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "key", "slice", "blob"])
+            none = pa.nulls(SLICES)
+            yield pa.RecordBatch.from_arrays([none.cast(kind), *[none.cast(pa.int64())] * 3, *sketch.slices()], names)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key long, slice int, blob binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key long, check long, slice int, blob binary")
 
 
 def levels(slices: DataFrame) -> np.ndarray:
@@ -210,11 +240,11 @@ def unique_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[0], pairs[1]
 
 
-def candidate_edges(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
-    """a, b: edges along which the nodes of each block hang together."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+def candidate_edges(rows: DataFrame, sets_of, level: np.ndarray, buckets: int) -> DataFrame:
+    """a, b: edges along which the nodes of each block hang together.  sets_of: batches -> (shingles, node) of each set, or None at a batch's end."""
+    shared = rows.sparkSession.sparkContext.broadcast(level)
 
-    def send(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    def send(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
         """Of a task's sets the joined postings by bucket, and its edges in one bucket of these."""
         sizes = [len(t) for t, _, _ in held]
         p = np.empty(sum(sizes), POSTING)
@@ -233,14 +263,10 @@ def candidate_edges(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int64()), pa.array(parts, pa.binary()), pa.array(edges, pa.binary())], ["bucket", "postings", "edges"])
 
     def postings(batches):
-        drop_tables()
-        hashes, seen, held, n = Hashes(), set(), [], 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text, hashes)
-                if len(tokens) and not _seen(seen, key := key_of(tokens)):
-                    held.append((first_tokens(tokens, shared.value), key, len(tokens)))
-                    n += len(held[-1][0])
+        held, n = [], 0
+        for tokens, key in sets_of(batches):
+            held.append((first_tokens(tokens, shared.value), key, len(tokens)))
+            n += len(held[-1][0])
             if n > HELD:
                 yield send(held)
                 held, n = [], 0
@@ -254,8 +280,68 @@ def candidate_edges(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFra
         a, b = unique_edges(np.concatenate([a, *[s[0] for s in sent]]), np.concatenate([b, *[s[1] for s in sent]]))
         return pa.table({"a": a, "b": b})
 
-    sent = docs.select("text").mapInArrow(postings, "bucket long, postings binary, edges binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return rows.mapInArrow(postings, "bucket long, postings binary, edges binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
+def text_edges(docs: DataFrame, level: np.ndarray, buckets: int, clashing: frozenset[int], bits: int) -> DataFrame:
+    """Edges of the sets of all texts."""
+
+    def sets_of(batches):
+        drop_tables()
+        hashes, seen = Hashes(), set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                tokens = shingles(text, hashes)
+                if len(tokens) and not _seen(seen, key := key_of(tokens, clashing, bits)):
+                    yield tokens, key
+
+    return candidate_edges(docs.select("text"), sets_of, level, buckets)
+
+
+def of_block(tokens: np.ndarray, block: int) -> np.ndarray:
+    """The shingles of a set as those of its block: what two blocks have is told apart."""
+    return tokens ^ np.uint64(xxhash.xxh3_64_intdigest(block.to_bytes(8, "little", signed=True)))
+
+
+def _sets_in_blocks(batches):
+    for batch in batches:
+        for block, key, tokens in zip(*[batch.column(c).to_pylist() for c in ("block", "key", "tokens")], strict=True):
+            yield of_block(np.frombuffer(tokens, np.uint64), block), key
+
+
+def cut_again(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """key, block of the nodes of large blocks after another cut, by the frequencies in each block.  nodes: block, key, n, tokens."""
+
+    def count(batches):
+        sketch, some = Sketch(), False
+        for tokens, _ in _sets_in_blocks(batches):
+            sketch.add(tokens)
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays(list(sketch.slices()), ["slice", "blob"])
+
+    level = levels(nodes.mapInArrow(count, "slice int, blob binary"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    edges = candidate_edges(nodes, _sets_in_blocks, level, max(1, total * (100 - PERCENT) // 100 // bucket))
+    return components(edges).withColumnsRenamed({"node": "key", "root": "block"})
+
+
+class Labels:
+    """Components of places as labels in an array: the smaller component takes the label of the larger one."""
+
+    def __init__(self, n: int):
+        self.of, self.members = np.arange(n), [[k] for k in range(n)]
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = int(self.of[a]), int(self.of[b])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
 
 
 def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tuple[int, int]]:
@@ -278,7 +364,17 @@ def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tu
     useful = np.flatnonzero(length[which] > 1)
     own = useful[np.argsort(node[useful], kind="stable")]  # places on lists, by node
     bounds = np.searchsorted(node[own], np.arange(len(sets) + 1))
-    forest, out = Forest(), []
+    groups, out = Labels(len(sets)), []
+    label = groups.of
+
+    def join(x: int, y: int) -> None:
+        if groups.join(x, y):
+            out.append((int(order[x]), int(order[y])))
+
+    def overlap_of(x: int, y: int) -> int:
+        a, b = sets[order[x]], sets[order[y]]
+        return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
     for x in range(len(sets)):
         if queries is not None and not queries[order[x]]:
             continue
@@ -286,35 +382,46 @@ def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tu
         need = required(s)
         places = own[bounds[x] : bounds[x + 1]]
         first = start[which[places]]
-        count = places - first if queries is None else length[which[places]] - 1
-        some = count > 0
-        if int(some.sum()) < need:
+        count = places - first if queries is None else length[which[places]]
+        if int((count > (queries is not None)).sum()) < need:
             continue
-        first, count = first[some], count[some]
         low = int(np.searchsorted(size, need))
         high = x if queries is None else int(np.searchsorted(size, 100 * s // PERCENT, "right"))
         if low >= high:
             continue
-        last = first + count + (queries is not None)
+        first, count = first[count > 0], count[count > 0]
+        # the node that is first on most lists
+        heads = node[first]
+        heads = heads[(heads >= low) & (heads < high) & (label[heads] != label[x])]
+        if len(heads):
+            found_at, times = np.unique(heads, return_counts=True)
+            y = int(found_at[np.argmax(times)])
+            if links(overlap_of(x, y), s, int(size[y])):
+                join(x, y)
+        if (label[low:high] == label[x]).all():
+            continue
         longest = np.argsort(-count, kind="stable")
         skip = min(need - 1, int(need / (MU * math.log2(max(2, int(count.max()))) + 1)))
-        short = []
-        for k in longest[skip:].tolist():
-            entries = node[first[k] : last[k]].tolist()
-            entries = entries[bisect_left(entries, low) : bisect_left(entries, high)]
-            if entries:
-                short.append(entries)
+        chosen = longest[skip:]
+        # what stands on the short lists: places of each list, one list after the other
+        lengths = count[chosen]
+        begin = np.cumsum(lengths) - lengths
+        entries = node[np.arange(int(lengths.sum())) + np.repeat(first[chosen] - begin, lengths)]
+        stays = (entries >= low) & (entries < high) & (label[entries] != label[x])
+        if not stays.any():
+            continue
+        kept = entries[stays].tolist()
+        cuts = np.concatenate(([0], np.cumsum(np.add.reduceat(stays.astype(np.int64), begin)))).tolist()
         found: dict[int, int] = {}
-        for y in heapq.merge(*short):
+        for y in heapq.merge(*[kept[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]):
             found[y] = found.get(y, 0) + 1
-        root = forest.root(x)
-        near = [y for y, n in found.items() if n >= need - skip and y != x and forest.root(y) != root]
+        near = [y for y, n in found.items() if n >= need - skip]
         if not near:
             continue
         cand = np.array(near, np.int64)
         overlap = np.array([found[y] for y in near], np.int64)
         for done, k in enumerate(longest[:skip].tolist()):
-            entries = node[first[k] : last[k]]
+            entries = node[first[k] : first[k] + count[k]]
             hit = np.searchsorted(entries, cand)
             overlap += entries[np.minimum(hit, len(entries) - 1)] == cand
             if done % 16 == 15 and not (alive := overlap + skip - done - 1 >= need).all():
@@ -322,8 +429,7 @@ def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tu
                 if not len(cand):
                     break
         for y in cand[links(overlap, s, size[cand])].tolist():
-            if forest.join(x, y):
-                out.append((int(order[x]), int(order[y])))
+            join(x, y)
     return out
 
 
@@ -422,31 +528,33 @@ def linkable(nodes: DataFrame) -> DataFrame:
     return hits.join(nodes.select("key", "n"), "key").where(100 * F.col("hits") >= PERCENT * F.col("n")).select("key")
 
 
-def split_links(nodes: DataFrame, sizes: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: links of blocks that are too large for one task.  nodes: block, key, n, tokens; sizes: block, shingles."""
+def split_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """a, b: links of blocks that are too large for one task.  nodes: block, key, n, tokens."""
     part = lambda column, parts: F.pmod(F.xxhash64(F.lit(3), column), parts)
-    chunks = F.ceil(F.col("shingles") / hot)
-    nodes = nodes.join(sizes.select("block", F.ceil(F.col("shingles") / BUCKET).alias("parts")), "block")
-    nodes = durable(nodes.join(linkable(nodes), "key", "left_semi").select("block", "key", "n", "tokens"))
-    sizes = durable(nodes.groupBy("block").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")))
-    placed = nodes.join(sizes, "block").withColumn("i", part("key", chunks)).withColumn("chunks", chunks)
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    sizes = durable(nodes.groupBy("block").agg(F.count("*").alias("nodes"), F.ceil(F.sum("n") / hot).alias("chunks")))
+    placed = nodes.join(sizes, "block").withColumn("i", part("key", F.col("chunks")))
     sampled = placed.where(part("key", F.greatest(F.lit(1), F.floor(F.col("nodes") / SAMPLE))) == 0).select("block", "key", "tokens")
     # A block whose sample is empty has no hub, and all its nodes are queries.
     hubs = durable(sampled.groupBy("block").applyInArrow(_hub, "block long, hub long, hub_tokens binary"))
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    sent = hubs.join(sizes.withColumn("chunks", chunks), "block").select("block", every("chunks").alias("i"), F.col("hub").alias("key"), F.col("hub_tokens").alias("tokens"), F.lit(True).alias("is_hub"))
+    sent = hubs.join(sizes, "block").select("block", every("chunks").alias("i"), F.col("hub").alias("key"), F.col("hub_tokens").alias("tokens"), F.lit(True).alias("is_hub"))
     near = placed.select("block", "i", "key", "tokens", F.lit(False).alias("is_hub")).unionByName(sent)
     near = durable(near.groupBy("block", "i").applyInArrow(_with_hub, "key long, linked boolean"))
-    by_hub = near.where("linked").join(placed.select("key", "block"), "key").join(hubs.select("block", "hub"), "block").where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    asking = placed.join(near.where("NOT linked").select("key"), "key", "left_semi")
-    parts = asking.groupBy("block").agg(F.ceil(F.sum("n") / hot).alias("q_chunks"))
-    index = placed.join(parts, "block").select("block", "key", "tokens", F.lit(False).alias("query"), "i", every("q_chunks").alias("j"))
-    asked = asking.join(parts, "block").select("block", "key", "tokens", F.lit(True).alias("query"), every("chunks").alias("i"), part("key", F.col("q_chunks")).alias("j"))
-    found = index.unionByName(asked).groupBy("block", "i", "j").applyInArrow(_block_search, "a long, b long")
+    by_hub = near.where("linked").join(nodes.select("key", "block"), "key").join(hubs.select("block", "hub"), "block").where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+
+    # a link's sizes are in one band or in two neighbouring ones: a band's ends differ by a quarter, as those of a link at most do
+    banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)))
+    asking = banded.join(near.where("NOT linked").select("key"), "key", "left_semi")
+    asking = asking.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    chunks = banded.groupBy("block", "band").agg(F.ceil(F.sum("n") / hot).alias("chunks"))
+    parts = durable(chunks.join(asking.groupBy("block", "band").agg(F.ceil(F.sum("n") / hot).alias("q_chunks")), ["block", "band"]))
+    index = banded.join(parts, ["block", "band"]).select("block", "band", "key", "tokens", F.lit(False).alias("query"), part("key", F.col("chunks")).alias("i"), every("q_chunks").alias("j"))
+    asked = asking.join(parts, ["block", "band"]).select("block", "band", "key", "tokens", F.lit(True).alias("query"), every("chunks").alias("i"), part("key", F.col("q_chunks")).alias("j"))
+    found = index.unionByName(asked).groupBy("block", "band", "i", "j").applyInArrow(_block_search, "a long, b long")
     return by_hub.unionByName(found)
 
 
-def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_sets(docs: DataFrame, nodes: DataFrame, clashing: frozenset[int], bits: int) -> DataFrame:
     """nodes (key, least, and others) with the shingles of each.
 
     Only the document with a node's smallest doc_id is read for it, so copies
@@ -460,37 +568,72 @@ def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         hashes = Hashes()
         for batch in batches:
             sets = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "of", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key_of(x, clashing, bits) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "of", "tokens"])
 
     chosen = docs.join(near(nodes.select(F.col("least").alias("id"))), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of long, tokens binary")
     return sets.join(near(nodes), (F.col("of") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).drop("doc_id", "of")
 
 
-def linked_nodes(docs: DataFrame, keys: DataFrame, slices: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+def shrunk(nodes: DataFrame, hot: int, bucket: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Nodes in blocks of at most hot shingles, and those in larger ones, after cuts of the large blocks; None for no nodes."""
+    calm, before = None, None
+    for _ in range(CUTS):
+        sizes = nodes.groupBy("block").agg(F.sum("n").alias("shingles"))
+        nodes = durable(nodes.join(sizes, "block"))
+        small = nodes.where(F.col("shingles") <= hot).drop("shingles")
+        calm = small if calm is None else calm.unionByName(small)
+        nodes = nodes.where(F.col("shingles") > hot)
+        left = nodes.agg(F.sum("n")).first()[0]
+        if left is None or (before is not None and 10 * left > 9 * before):
+            return calm, None if left is None else nodes.drop("shingles")
+        before = left
+        nodes = nodes.withColumn("parts", F.ceil(F.col("shingles") / bucket)).drop("shingles")
+        nodes = durable(nodes.join(linkable(nodes), "key", "left_semi").drop("parts"))
+        nodes = nodes.drop("block").join(cut_again(nodes, bucket), "key").select("block", "key", "n", "tokens")
+    return calm, nodes
+
+
+def linked_nodes(docs: DataFrame, keys: DataFrame, slices: DataFrame, clashing: frozenset[int], hot: int = HOT, bucket: int = BUCKET, bits: int = 64) -> DataFrame:
     """node, root of every node that links with another one.  keys: key, n, least of each node."""
     total = keys.agg(F.sum("n")).first()[0] or 0
-    edges = candidate_edges(docs, levels(slices), max(1, total * (100 - PERCENT) // 100 // bucket))
+    edges = text_edges(docs, levels(slices), max(1, total * (100 - PERCENT) // 100 // bucket), clashing, bits)
     nodes = durable(components(edges).withColumnsRenamed({"node": "key", "root": "block"}).join(keys, "key"))
-    sizes = durable(nodes.groupBy("block").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")))
+    sizes = durable(nodes.groupBy("block").agg(F.sum("n").alias("shingles")))
     small, large = sizes.where(F.col("shingles") <= hot), sizes.where(F.col("shingles") > hot)
-    groups = (small.agg(F.sum("shingles")).first()[0] or 0) // GROUP + 1
-    calm = durable(nodes.join(small.select("block"), "block"))
-    found = with_sets(docs, calm).groupBy(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")).applyInArrow(_block_search, "a long, b long")
+    calm = with_sets(docs, durable(nodes.join(small.select("block"), "block")), clashing, bits).select("block", "key", "n", "tokens")
+    crowded = None
     if not large.isEmpty():
-        crowded = with_sets(docs, durable(nodes.join(large.select("block"), "block"))).select("block", "key", "n", "tokens")
-        found = found.unionByName(split_links(durable(crowded), large, hot))
+        found = durable(with_sets(docs, durable(nodes.join(large.select("block"), "block")), clashing, bits).select("block", "key", "n", "tokens"))
+        more, crowded = shrunk(found, hot, bucket)
+        calm = calm.unionByName(more)
+    groups = total // GROUP + 1
+    found = calm.groupBy(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")).applyInArrow(_block_search, "a long, b long")
+    if crowded is not None:
+        found = found.unionByName(split_links(durable(crowded), hot))
     return components(found)
 
 
-def components_of(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs."""
+def clashing_keys(rows: DataFrame) -> frozenset[int]:
+    """The keys that different sets have: a few for each 1e10 documents."""
+    clash = rows.groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("key")
+    return frozenset(r["key"] for r in clash.collect())
+
+
+def components_of(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs.
+
+    bits is how many of a key's 64 bits are used; fewer make names clash, for tests.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", text_of("text").alias("text"))
-    both = durable(profile(docs))
-    rows = both.where("slice IS NULL").select("doc_id", "n", "key")
+    docs = spread(docs.select("doc_id", text_of("text").alias("text")))
+    both = durable(profile(docs, bits))
+    rows = both.where("slice IS NULL").select("doc_id", "n", "key", "check")
+    clashing = clashing_keys(rows.where("key IS NOT NULL"))
+    if clashing:
+        rows = rows.withColumn("key", F.when(F.col("key").isin(list(clashing)), F.col("check")).otherwise(F.col("key")))
     keys = durable(rows.where("key IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("least")))
-    roots = linked_nodes(docs, keys, both.where("slice IS NOT NULL").select("slice", "blob"), hot, bucket)
+    roots = linked_nodes(docs, keys, both.where("slice IS NOT NULL").select("slice", "blob"), clashing, hot, bucket, bits)
     keys = durable(keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     named = keys.join(keys.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     # copies share a key: adaptive execution splits one that many rows have

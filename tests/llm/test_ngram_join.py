@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -61,6 +62,47 @@ def test_near_copies_and_a_common_passage(spark, hot):
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert joined(df, hot=hot, bucket=500) == brute(rows)
+    if hot == 300:
+        assert joined(df, hot=hot, bucket=500, bits=4) == brute(rows)
+
+
+def test_large_blocks(spark):
+    """A block of 20 times hot: near copies of several texts with a passage in common, which sizes and cuts take apart."""
+    rnd = random.Random(14)
+    words = [f"w{k}" for k in range(5000)]
+    passage, rows = rnd.choices(words, k=25), []
+    for family in range(12):
+        base = rnd.choices(words, k=60 + 12 * family)
+        for _ in range(25):
+            text = passage + base
+            for _ in range(rnd.randint(0, 4)):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    for hot in (40_000, 2_000):
+        assert joined(df, hot=hot, bucket=20_000) == want
+
+
+def near_copies(n, size, rnd):
+    base = np.array([rnd.getrandbits(64) for _ in range(size)], np.uint64)
+    out = []
+    for _ in range(n):
+        x = base.copy()
+        for k in rnd.sample(range(size), size // 30):
+            x[k] = rnd.getrandbits(64)
+        out.append(np.unique(x))
+    return out
+
+
+def test_near_copies_cost_their_size():
+    rnd, took = random.Random(3), []
+    for n in (1500, 6000):
+        sets = near_copies(n, 150, rnd)
+        start = time.time()
+        assert len(ngram_join.search(sets)) == n - 1
+        took.append(time.time() - start)
+    assert took[1] < 12 * took[0] + 1, took
 
 
 def test_search_is_exact():
@@ -96,6 +138,9 @@ def test_components(spark):
             if a != b:
                 want[a] = want[b] = min(want[a], want[b])
     assert got == want
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert {r["node"]: r["root"] for r in components(df, few=10).collect()} == want
+    assert components(df.where("a = b")).count() == 0 and components(df.where("a = b"), few=-1).count() == 0
 
 
 def test_one_of_each_group_stays(documents):
