@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, durable, text_of
+from parlance.llm.common import SPACE, durable, spread, text_of
 
 #: Frequent digests that are taken from the sketch, and counters that a sketch has.
 HEAVY, TRACKED = 256, 2048
@@ -57,7 +57,7 @@ def winners(rows: DataFrame, heavy: list[str]) -> DataFrame:
 
 def decide(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    rows = durable(docs.select("doc_id", digest_of().alias("digest"), F.monotonically_increasing_id().alias("row")))
+    rows = durable(spread(docs.select("doc_id", "text")).select("doc_id", digest_of().alias("digest"), F.monotonically_increasing_id().alias("row")))
     found = durable(winners(rows, frequent(rows, heavy, tracked)))
 
     def decided(marked: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parlance.llm.common import small_batches, text_of
+from parlance.llm.common import small_batches, spread, text_of
 
 #: The phrases that count as base matches, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -187,4 +187,4 @@ def scans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([f[k] for f in found], kind) for k, kind in kinds.items()]], ["doc_id", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return spread(docs.select("doc_id", text_of("text").alias("text"))).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

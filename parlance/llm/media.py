@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bit_filter, durable, may_contain, small_batches, text_of, written
+from parlance.llm.common import bit_filter, durable, may_contain, small_batches, spread, text_of, written
 
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes; samples a second.
 UNIT, PAD, RATE = 192, b" ", 8_000
@@ -224,6 +224,7 @@ def verified(files: DataFrame) -> DataFrame:
 def media(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its file stored, read back, verified, and described."""
     small_batches(docs.sparkSession)
+    docs = spread(docs.select("doc_id", "text"))
     rows = durable(listed(docs))
     found = verified(Store(docs, rows).read())
     # many rows may have one file: adaptive execution splits such a key

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WORD, durable, text_of
+from parlance.llm.common import WORD, durable, spread, text_of
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BLOCK, SHARD_DOCS, FAN, SEED = 64, 256, 1000, 17
@@ -174,7 +174,7 @@ def plan(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: fl
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of docs."""
-    sized = durable(docs.select("doc_id", "source", words_of().alias("size")))
+    sized = durable(spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", words_of().alias("size")))
     return plan(sized, F.col("size"), **how).select("row.doc_id", "size", "source_size", "target", "taken")
 
 

@@ -108,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
     # at most sample rows, whatever the input: small enough to broadcast
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(marks), "doc_id")
+    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # the sample may stand in a few partitions
 
     def run(batches):
         drop_tables()

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import durable, text_of
+from parlance.llm.common import durable, spread, text_of
 
 #: Kind, pattern, group whose length counts, least length.  Runs that are too short are left out in the
 #: pattern where that finds the same places.
@@ -199,7 +199,7 @@ def thresholds(pools: DataFrame) -> DataFrame:
 def scans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of docs."""
     text = F.col("text")
-    rows = docs.select("doc_id", text_of("text").alias("text"))
+    rows = spread(docs.select("doc_id", text_of("text").alias("text")))
     for kind, pattern, group, least in BASE:
         rows = rows.withColumn(kind, long_enough(places(text, pattern, group), least))
     rows = rows.withColumn("run", places(text, RUN, 0))
