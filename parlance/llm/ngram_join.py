@@ -68,11 +68,13 @@ N, PERCENT = 5, 80
 COUNTERS, SLICES = 1 << 22, 64
 SHIFT = np.uint64(42)  # a token's counter is its top bits
 #: Postings of a bucket and shingles of a group of small blocks, about; shingles from which a block is split; postings that a task holds.
-BUCKET, GROUP, HOT, HELD = 200_000, 400_000, 400_000, 400_000
+BUCKET, GROUP, HOT, HELD = 200_000, 200_000, 100_000, 400_000
 #: Times that a large block is cut again, as long as that makes the large ones a tenth smaller.
 CUTS = 4
 #: DivideSkip's weight of a lookup in a long list against a step of the merge.
 MU = 0.0085
+#: Entries up to which a heap merges the short lists; more are merged run by run.  Long lists that are looked up at once.
+HEAP, AT_ONCE = 1_000, 16
 #: Nodes of a split block among which its hub is chosen, about.
 SAMPLE = 64
 #: Words that a worker's table of hashes may have, and nodes that a task remembers, before they are emptied.
@@ -344,6 +346,20 @@ class Labels:
         return True
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, count numbers long, end to end."""
+    begin = np.cumsum(count) - count
+    return np.arange(int(count.sum())) + np.repeat(first - begin, count)
+
+
+def merge(entries: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """All entries in order; those from one cut to the next ascend.  A heap merges few; many are merged as runs, which a stable sort does."""
+    if len(entries) > HEAP:
+        return np.sort(entries, kind="stable")
+    entries, cuts = entries.tolist(), cuts.tolist()
+    return np.array(list(heapq.merge(*[entries[a:b] for a, b in zip(cuts, cuts[1:]) if a < b])), np.int64)
+
+
 def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that join the sets to their components, as pairs of places; T-occurrence search by DivideSkip.
 
@@ -361,6 +377,7 @@ def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tu
     start = np.flatnonzero(new)
     length = np.diff(np.concatenate((start, [len(token)])))
     which = np.cumsum(new) - 1
+    posting = which * len(sets) + node
     useful = np.flatnonzero(length[which] > 1)
     own = useful[np.argsort(node[useful], kind="stable")]  # places on lists, by node
     bounds = np.searchsorted(node[own], np.arange(len(sets) + 1))
@@ -404,30 +421,32 @@ def search(sets: list[np.ndarray], queries: list[bool] | None = None) -> list[tu
         skip = min(need - 1, int(need / (MU * math.log2(max(2, int(count.max()))) + 1)))
         chosen = longest[skip:]
         # what stands on the short lists: places of each list, one list after the other
-        lengths = count[chosen]
-        begin = np.cumsum(lengths) - lengths
-        entries = node[np.arange(int(lengths.sum())) + np.repeat(first[chosen] - begin, lengths)]
+        begin = np.cumsum(count[chosen]) - count[chosen]
+        entries = node[ranges(first[chosen], count[chosen])]
         stays = (entries >= low) & (entries < high) & (label[entries] != label[x])
         if not stays.any():
             continue
-        kept = entries[stays].tolist()
-        cuts = np.concatenate(([0], np.cumsum(np.add.reduceat(stays.astype(np.int64), begin)))).tolist()
-        found: dict[int, int] = {}
-        for y in heapq.merge(*[kept[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]):
-            found[y] = found.get(y, 0) + 1
-        near = [y for y, n in found.items() if n >= need - skip]
-        if not near:
-            continue
-        cand = np.array(near, np.int64)
-        overlap = np.array([found[y] for y in near], np.int64)
-        for done, k in enumerate(longest[:skip].tolist()):
-            entries = node[first[k] : first[k] + count[k]]
-            hit = np.searchsorted(entries, cand)
-            overlap += entries[np.minimum(hit, len(entries) - 1)] == cand
-            if done % 16 == 15 and not (alive := overlap + skip - done - 1 >= need).all():
-                cand, overlap = cand[alive], overlap[alive]
-                if not len(cand):
-                    break
+        cuts = np.concatenate(([0], np.cumsum(np.add.reduceat(stays.astype(np.int64), begin))))
+        merged = merge(entries[stays], cuts)
+        ends = np.flatnonzero(np.concatenate((merged[1:] != merged[:-1], [True])))
+        overlap = np.diff(ends, prepend=-1)
+        cand = merged[ends]
+        near = overlap >= need - skip
+        cand, overlap = cand[near], overlap[near]
+        for done in range(0, skip, AT_ONCE):
+            if not len(cand):
+                break
+            lists = longest[done : min(skip, done + AT_ONCE)]
+            if 8 * len(cand) * len(lists) > int(count[lists].sum()):
+                # candidates on most of the lists: reading these costs less than the lookups
+                overlap += np.bincount(node[ranges(first[lists], count[lists])], minlength=len(sets))[cand]
+            else:
+                # a binary search for each candidate in each list, by places in all postings, which ascend by list and node
+                wanted = (which[first[lists]][:, None] * len(sets) + cand).ravel()
+                hit = np.searchsorted(posting, wanted)
+                overlap += (posting[np.minimum(hit, len(posting) - 1)] == wanted).reshape(len(lists), -1).sum(0)
+            alive = overlap + skip - done - len(lists) >= need
+            cand, overlap = cand[alive], overlap[alive]
         for y in cand[links(overlap, s, size[cand])].tolist():
             join(x, y)
     return out
