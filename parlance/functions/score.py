@@ -16,6 +16,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The running result of an associative combine(before, x) over a non-empty array, by doubling steps."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, combine(F.get(acc, i - back), x)).otherwise(x))
+
+    return F.aggregate(steps, values, step)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
 

@@ -120,19 +120,25 @@ def from_messages(df: DataFrame, c: Columns, keep: list[str] = ()) -> DataFrame:
     return out.select(*keep, F.when(broken, none).otherwise(prompt).alias("_prompt"), F.when(broken, none).otherwise(response).alias("_response"), F.col("__system").alias("_system"), *_rest(df, c))
 
 
-#: Responses that a stage needs; the prompt must have an odd number of messages in every stage.
-NEEDED = {"sft": "= 1", "rm": ">= 2", "kto": ">= 2", "ppo": ">= 0"}
+#: What a stage needs of a row: a text to train on, or an odd number of messages and so many responses.
+ODD = "size(_prompt) % 2 = 1"
+NEEDED = {"pt": "size(_prompt) >= 1", "sft": f"{ODD} AND size(_response) = 1", "rm": f"{ODD} AND size(_response) >= 2", "kto": f"{ODD} AND size(_response) >= 2", "ppo": ODD}
+#: Preference training loads its data as reward modelling does.
+NEEDED["dpo"] = NEEDED["rm"]
+RANKED = ("rm", "dpo")
 
 
 def well_formed(aligned: DataFrame, stage: str) -> DataFrame:
     """The aligned rows that a stage can use."""
-    return aligned.where(f"size(_prompt) % 2 = 1 AND size(_response) {NEEDED[stage]}")
+    return aligned.where(NEEDED[stage])
 
 
 def check_stage(stage: str, ranking: bool) -> None:
-    """Ranked data goes with reward modelling, and only with it."""
-    if (stage == "rm") != ranking and stage in ("rm", "sft", "pt", "kto"):
-        raise ValueError("ranked data is for reward modelling, and reward modelling needs ranked data")
+    """Ranked data goes with reward modelling and preference training, and only with these."""
+    if stage not in NEEDED:
+        raise ValueError(f"unknown stage {stage}")
+    if (stage in RANKED) != ranking:
+        raise ValueError("ranked data is for reward modelling and preference training, and these need ranked data")
 
 
 def with_media_paths(aligned: DataFrame, files: DataFrame, media_dir: str, column: str = "_images") -> DataFrame:

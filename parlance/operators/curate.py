@@ -32,9 +32,10 @@ def wide_models(results: DataFrame, models: list[str], first: str = "0", chosen:
 
 def content_identity(rows: DataFrame, source: DataFrame, keys: list[str], ids: list[str], order: str) -> DataFrame:
     """rows with the ids of the source row whose keys are equal but for white space; of several the last in order."""
-    of = [collapse(F.col(k)).alias(f"__{k}") for k in keys]
-    build = source.select(*of, *ids, F.col(order).alias("__order")).groupBy(*[f"__{k}" for k in keys]).agg(F.max_by(F.struct(*ids), "__order").alias("__ids"))
-    out = rows.withColumns({f"__{k}": collapse(F.col(k)) for k in keys}).join(build, [f"__{k}" for k in keys], "left")
+    # texts meet as digests: neither side sends them, and an id column is all that is grouped
+    content = F.sha2(F.to_json(F.array(*[collapse(F.col(k)) for k in keys])), 256).alias("__content")
+    build = source.select(content, *ids, F.col(order).alias("__order")).groupBy("__content").agg(F.max_by(F.struct(*ids), "__order").alias("__ids"))
+    out = rows.withColumn("__content", content).join(build, "__content", "left")
     return out.select(*rows.columns, *[F.col(f"__ids.{i}").alias(i) for i in ids])
 
 

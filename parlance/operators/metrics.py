@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from parlance.functions.score import let, percent, total
+from parlance.functions.score import let, percent, running, total
+from parlance.operators.split import numbered, running_total
 from parlance.schemas import IGNORE
+from parlance.sources.stages import materialized
 
 
 def classification(rows: DataFrame, by: list[str], truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -112,26 +114,36 @@ def feedback_margin(sums: DataFrame, key: str) -> DataFrame:
 
 
 def running_mean(rows: DataFrame, by: list[str], order: str, value: str, n: str) -> DataFrame:
-    upto = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("running", F.sum(F.col(value) * F.col(n)).over(upto) / F.sum(n).over(upto))
+    """rows with the mean so far of value, weighted by n, of each group; a group may hold a third of all rows."""
+    grouped = rows.withColumn("__g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    sums = running_total(grouped, [order], F.struct((F.col(value) * F.col(n)).alias("v"), F.col(n).alias("n")), "__s", "__g")
+    return sums.withColumn("running", F.col("__s.v") / F.col("__s.n")).drop("__g", "__s")
 
 
-def smoothed(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Exponential smoothing of each series; the weight grows with its length.
+def smoothed(rows: DataFrame, by: list[str], order: str, value: str, part: int = 1024) -> DataFrame:
+    """Exponential smoothing of each series; the weight w grows with its length.
 
-    A series is folded as one array, as each value needs the one before it.
+    A value is w times the one before it and 1 - w times the row's own.  A series is
+    cut into parts of so many rows, each smoothed from 0; what a part begins with
+    follows from the last values of the parts before it, and fades by w with each row.
     """
-    series = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("__s"))
-    weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.size("__s"))) - 0.5)
-    start = F.struct(F.get("__s", F.lit(0))["v"].alias("last"), F.expr("CAST(array() AS array<double>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        v = acc["last"] * F.col("__w") + (1 - F.col("__w")) * x["v"]
-        return F.struct(v.alias("last"), F.concat(acc["out"], F.array(v)).alias("out"))
-
-    series = series.withColumn("__w", weight).withColumn("__out", F.aggregate("__s", start, step, lambda acc: acc["out"]))
-    each = F.explode(F.arrays_zip(F.col("__s").alias("s"), F.col("__out").alias("o"))).alias("x")
-    return series.select(*by, each).select(*by, F.col(f"x.s.{order}").alias(order), F.col("x.o").alias("smoothed"))
+    grouped = rows.select(*by, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"), F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("__g"))
+    placed = numbered(grouped, ["__o"], "__i", "__g").withColumn("__c", F.floor((F.col("__i") - 1) / part))
+    inside = F.sort_array(F.collect_list(F.struct("__i", "__o", "__v")))
+    parts = materialized(placed.groupBy("__g", *by, "__c").agg(inside.alias("__s")))
+    fade = lambda a, x: F.struct((a["w"] * x["w"]).alias("w"), (a["v"] * x["w"] + x["v"]).alias("v"))
+
+    w = F.col("__w")
+    lengths = parts.groupBy("__g").agg(F.sum(F.size("__s")).alias("__n"), F.min_by(F.get("__s", F.lit(0))["__v"], "__c").alias("__first"))
+    lengths = lengths.withColumn("__w", 1.8 * (1 / (1 + F.exp(-0.05 * F.col("__n"))) - 0.5))
+    own = running(F.transform("__s", lambda x: F.struct(w.alias("w"), ((1 - w) * x["__v"]).alias("v"))), fade)
+    parts = materialized(parts.join(lengths, "__g").withColumn("__out", own))
+    ends = parts.groupBy("__g").agg(F.sort_array(F.collect_list(F.struct("__c", F.element_at("__out", -1).alias("x")))).alias("__e"), F.first("__first").alias("__f"))
+    # before the first part stands the first value itself
+    begins = F.concat(F.array(F.struct(F.lit(1.0).alias("w"), F.col("__f").alias("v"))), F.transform("__e", lambda e: F.struct(e["x"]["w"].alias("w"), e["x"]["v"].alias("v"))))
+    begins = ends.select("__g", F.posexplode(running(begins, fade)).alias("__c", "__b")).select("__g", F.col("__c").cast("long"), "__b.v")
+    out = parts.join(begins, ["__g", "__c"]).select(*by, "v", F.explode(F.arrays_zip(F.col("__s").alias("s"), F.col("__out").alias("o"))).alias("x"))
+    return out.select(*by, F.col("x.s.__o").alias(order), (F.col("v") * F.col("x.o.w") + F.col("x.o.v")).alias("smoothed"))
 
 
 def effective_tokens_per_second(rows: DataFrame, ids: str, epochs: float, seconds: float) -> DataFrame:
@@ -150,12 +162,16 @@ def rouge_n(a: Column, b: Column, n_grams) -> Column:
 
 
 def _lcs(a: list, b: list) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; the columns of its table are the bits of one number."""
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
     for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & every
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(DoubleType())

@@ -39,21 +39,26 @@ def ranked(rows: DataFrame, key: str | Column, seed: int | str, name: str = "rn"
 def running_total(rows: DataFrame, order: list[str], value: Column, name: str, group: str | None = None) -> DataFrame:
     """rows with the sum of value up to and with each row, in an order without ties, in each group if there is one.
 
+    value is a number, or a struct of numbers that are summed each.
+
     Rows are sorted by range; a row's total is that of its range so far and of
     the ranges before it.  So neither the table nor a group with a third of it is
     one task.
     """
     keys = [group] if group else []
-    parts = materialized(rows.withColumn("__v", value).repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()))
-    sums = parts.groupBy(*keys, "__p").agg(F.sum("__v").alias("__s"))
-    upto = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__p").rowsBetween(W.unboundedPreceding, 0)
-    before = sums.select(F.col("__p").alias("__q"), *[F.col(g).alias("__g") for g in keys], (F.sum("__s").over(upto) - F.col("__s")).alias("__before"))
-    same = parts["__p"] == before["__q"]
+    parts = materialized(rows.withColumn("__rt_v", value).repartitionByRange(*keys, *order).withColumn("__rt_p", F.spark_partition_id()))
+    kind = parts.schema["__rt_v"].dataType
+    each = lambda f, *columns: F.struct(*[f(*[F.col(c)[x] for c in columns]).alias(x) for x in kind.names]) if kind.typeName() == "struct" else f(*map(F.col, columns))
+    sums = parts.groupBy(*keys, "__rt_p").agg(each(F.sum, "__rt_v").alias("__rt_s"))
+    upto = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__rt_p").rowsBetween(W.unboundedPreceding, 0)
+    before = sums.select(F.col("__rt_p").alias("__rt_q"), *[F.col(g).alias("__rt_g") for g in keys], each(lambda s: F.sum(s).over(upto) - s, "__rt_s").alias("__rt_before"))
+    same = parts["__rt_p"] == before["__rt_q"]
     if group:
-        same = same & parts[group].eqNullSafe(before["__g"])
-    own = F.sum("__v").over(W.partitionBy("__p", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = parts.withColumn("__own", own).join(before, same)
-    return out.withColumn(name, F.col("__own") + F.col("__before")).drop("__v", "__p", "__q", "__g", "__own", "__before")
+        same = same & parts[group].eqNullSafe(before["__rt_g"])
+    inside = W.partitionBy("__rt_p", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    own = each(lambda v: F.sum(v).over(inside), "__rt_v")
+    out = parts.withColumn("__rt_own", own).join(before, same)
+    return out.withColumn(name, each(lambda a, b: a + b, "__rt_own", "__rt_before")).drop("__rt_v", "__rt_p", "__rt_q", "__rt_g", "__rt_own", "__rt_before")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "rn", group: str | None = None) -> DataFrame:
@@ -166,25 +171,42 @@ def interleaved(rows: DataFrame, source: str, order: str, stop: str = "first_exh
     turns = numbered(rows, [order], "turn", source).withColumn("turn", (F.col("turn") - 1).cast("int"))
     if stop == "first_exhausted":
         return turns.where(F.col("turn") < low)
-    again = turns.join(F.broadcast(sizes), source)
+    again = turns.join(sizes, source)
     times = F.sequence(F.lit(0), F.floor((F.lit(high) - 1 - F.col("turn")) / F.col("__n")))
     return again.withColumn("__k", F.explode(times)).withColumn("turn", F.col("turn") + F.col("__k") * F.col("__n")).drop("__k", "__n")
 
 
-def interleave_plan(sizes: list[int], probabilities: list[float], seed: int, stop: str = "first_exhausted") -> list[tuple[int, int]]:
-    """(source, row) in the order of a probabilistic interleaving: a seeded draw of sources, and each source's rows in turn."""
-    import random
+def drawn(rows: DataFrame, source: str, order: str, probabilities: dict[str, float], seed: int = 42, stop: str = "first_exhausted") -> DataFrame:
+    """rows of sources that are drawn by chance, with position: each source's rows in turn, until one or all of them have ended.
 
-    draw, at, done, out = random.Random(seed), [0] * len(sizes), [False] * len(sizes), []
-    while not all(done):
-        k = draw.choices(range(len(sizes)), probabilities)[0]
-        out.append((k, at[k] % sizes[k]))
-        at[k] += 1
-        if at[k] >= sizes[k]:
-            done[k] = True
-            if stop == "first_exhausted":
-                break
-    return out
+    Which source stands at a position follows from a hash of it, so the mixture is
+    laid out by counting and joined to the rows; a source that starts over repeats
+    its rows.  Only the sizes of the sources, one for each probability, come to the driver.
+    """
+    spark, names = rows.sparkSession, list(probabilities)
+    sizes = {r[source]: r["n"] for r in rows.where(F.col(source).isin(names)).groupBy(source).agg(F.count("*").alias("n")).collect()}
+    if set(sizes) != set(names):
+        raise ValueError(f"sources without rows: {sorted(set(names) - set(sizes))}")
+    total, upto = sum(probabilities.values()), []
+    for name in names:
+        upto.append((name, sum(probabilities[x] for x in names[: len(upto) + 1]) / total))
+    pick = min if stop == "first_exhausted" else max
+    n = int(1.25 * pick(sizes[x] * total / probabilities[x] for x in names)) + 100
+    while True:
+        chance = F.conv(F.substring(seeded("position", seed), 1, 8), 16, 10).cast("long") / float(1 << 32)
+        of = F.lit(names[-1])
+        for name, end in reversed(upto[:-1]):
+            of = F.when(chance < end, F.lit(name)).otherwise(of)
+        places = spark.range(n).withColumnRenamed("id", "position").withColumn("__of", of)
+        places = materialized(numbered(places, ["position"], "__k", "__of"))
+        most = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])
+        ends = [r["position"] for r in places.where(F.col("__k") == F.try_element_at(most, F.col("__of"))).select("position").collect()]
+        if len(ends) == len(names) or (ends and stop == "first_exhausted"):
+            break
+        n *= 2
+    kept = places.where(F.col("position") <= pick(ends)).withColumn("__k", (F.col("__k") - 1) % F.try_element_at(most, F.col("__of")) + 1)
+    own = numbered(rows.where(F.col(source).isin(names)), [order], "__r", source)
+    return own.join(kept, (own[source] == kept["__of"]) & (own["__r"] == kept["__k"])).drop("__of", "__k", "__r")
 
 
 def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:

@@ -26,8 +26,9 @@ def stream_windows(t: Tables) -> DataFrame:
     # event time counts from the epoch in whatever time zone the session has
     events = stream(t, "events").withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', ts))"))
     rows = streams.windowed(events, "ts", "6 hours", "1 hour", ["event_type"], "value")
-    out = streams.in_memory(rows, f"windows_{uuid.uuid4().hex}", "complete")
-    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    streams.write_complete(rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows").select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT doc_id, CAST(('0x' || substr(md5(doc_id || '|42'), 1, 8)) AS BIGINT) / 4294967296 < 0.1::DOUBLE AS validation FROM documents""")

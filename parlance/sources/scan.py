@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from parlance.functions.text import strip
 from parlance.operators import parse
@@ -41,13 +43,34 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     if kind == "text":
         return spark.read.text(path).withColumnRenamed("value", "text")
     if kind == "arrow":
-        import pyarrow as pa
-
-        with pa.memory_map(path) as source:  # an interchange file on the driver, not a table of a lake
-            return spark.createDataFrame(pa.ipc.open_stream(source).read_all())
+        return read_arrow(spark, path, schema)
     return reader.parquet(path)
 
 
+def read_arrow(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Arrow streams, or files of them, where Spark's executors read them; a file is one task's.  Without a schema that of the first file holds."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def opened(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                raw = content.as_buffer()
+                yield pa.ipc.open_file(raw) if raw.slice(0, 6).to_pybytes() == b"ARROW1" else pa.ipc.open_stream(raw)
+
+    def kind(batches):
+        for reader in opened(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([reader.schema.serialize().to_pybytes()], pa.binary())], ["schema"])
+
+    def rows(batches):
+        for reader in opened(batches):
+            yield from reader.read_all().to_batches()
+
+    if schema is None:
+        found = files.limit(1).mapInArrow(kind, "schema binary").first()[0]
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(found))))
+    return files.mapInArrow(rows, schema)
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None, array: bool = False) -> DataFrame:
     """JSON lines, or files that are JSON arrays."""
     reader = spark.read.schema(schema) if schema else spark.read

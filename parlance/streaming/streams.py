@@ -50,11 +50,13 @@ def windowed(events: DataFrame, ts: str, window: str, late: str, by: list[str],
     return out.select(F.col("window.start").alias("start"), *by, "n", "total")
 
 
-def in_memory(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a finite stream gives, for tests."""
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rows.sparkSession.table(name)
+def write_complete(rows: DataFrame, path: str, checkpoint: str):
+    """Writes an aggregate's whole result at path; each micro-batch replaces the one before it, and so does one that is written again."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return rows.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(listener: Callable[[dict], None]):

@@ -181,9 +181,13 @@ def test_mixtures(spark):
     assert split.interleaved(df, "s", "k").count() == 4
     over = split.interleaved(df, "s", "k", "all_exhausted")
     assert {r["s"]: r["n"] for r in over.groupBy("s").agg(F.count("*").alias("n")).collect()} == {"a": 5, "b": 5}
-    plan = split.interleave_plan([3, 2], [0.5, 0.5], 1)
-    assert plan == split.interleave_plan([3, 2], [0.5, 0.5], 1) and max(k for _, k in plan) <= 2
-    assert split.interleave_plan([3, 2], [0.9, 0.1], 1, "all_exhausted").count((1, 0)) >= 1
+    first = split.drawn(df, "s", "k", {"a": 0.5, "b": 0.5}, 1).orderBy("position").collect()
+    assert [r["position"] for r in first] == list(range(len(first))) and (first[-1]["s"], first[-1]["k"]) in (("a", 4), ("b", 1))
+    assert [r["k"] for r in first if r["s"] == "a"] == list(range(sum(r["s"] == "a" for r in first)))
+    every = split.drawn(df, "s", "k", {"a": 0.9, "b": 0.1}, 1, "all_exhausted").collect()
+    assert {(r["s"], r["k"]) for r in every} == {(r["s"], r["k"]) for r in df.collect()}
+    with pytest.raises(ValueError):
+        split.drawn(df, "s", "k", {"a": 0.5, "c": 0.5})
     sets = [spark.createDataFrame([(1, "rm-prompt")], "pos int, set string"), spark.createDataFrame([(2, "sft-demonstration")], "pos int, set string")]
     assert [r["pos"] for r in split.merged(sets, "pos").collect()] == [2, 1]
 
@@ -290,7 +294,9 @@ def test_streams(spark, tmp_path):
     spark.range(100).write.parquet(f"{tmp_path}/in")
     rows = streams.read_stream(spark, f"{tmp_path}/in", "id long")
     train, validation = streams.split_stream(rows, "id", 0.3)
-    n = [streams.in_memory(x, name).count() for x, name in ((train, "s_train"), (validation, "s_val"))]
+    for x, name in ((train, "s_train"), (validation, "s_val")):
+        streams.write_stream(x, f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}").awaitTermination()
+    n = [spark.read.parquet(f"{tmp_path}/{name}").count() for name in ("s_train", "s_val")]
     assert sum(n) == 100 and 10 < n[1] < 50
     streams.write_shuffled(rows, f"{tmp_path}/out", f"{tmp_path}/cp", "id").awaitTermination()
     got = [r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()]
