@@ -14,7 +14,8 @@ A task learns which digests are shared from a bit filter of bounded size.  A
 digest that the filter takes for shared by mistake is stored as a shared one, so
 results don't depend on it.  Only distinct files are stored and read back, and
 a task stores a digest once, so a text that a third of all rows repeat costs a
-few rows in each task.
+few rows in each task.  Chunks that very many places borrow come to these by
+broadcast, so a passage that a third of all files share meets nobody in one task.
 
 Defined results: a null text is an empty one, whose payload is one unit of
 spaces; payloads of any length are stored whole; repeated rows give repeated
@@ -40,6 +41,8 @@ from parlance.llm.common import bit_filter, durable, may_contain, small_batches,
 UNIT, PAD, RATE = 192, b" ", 8_000
 #: Least and most bytes of a chunk; a cut stands where the top CUT_BITS of the gear hash are 0 (one place in 1024).
 LEAST, MOST, CUT_BITS = 256, 8_192, 10
+#: Chunks that a larger share than 1 / HOT_SHARE of all borrowed places names are broadcast: 8 MB at most.
+HOT_SHARE = 1_000
 #: Bytes of a chunk's digest.
 DIGEST = 16
 #: Bytes that the 32-bit gear hash looks back.
@@ -197,7 +200,12 @@ class Store:
         # only the places of borrowed chunks meet the chunk table, and they come back to their file
         asked = rest.select("media_key", F.posexplode(F.arrays_zip(digests_of("chunk_list").alias("digest"), "inline")).alias("pos", "c"))
         asked = asked.where("c.inline IS NULL").select("media_key", "pos", F.col("c.digest").alias("digest"))
-        lent = asked.join(self.chunks, "digest").groupBy("media_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("lent"))
+        # a chunk that one in HOT_SHARE of all places borrows is one of fewer than HOT_SHARE, of MOST bytes each: these are broadcast
+        times = durable(asked.groupBy("digest").agg(F.count("*").alias("n")))
+        hot = times.where(F.col("n") > (times.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE).select("digest")
+        often = F.broadcast(durable(self.chunks.join(F.broadcast(hot), "digest")))
+        seldom = asked.join(often.select("digest"), "digest", "left_anti").join(self.chunks, "digest")
+        lent = asked.join(often, "digest").unionByName(seldom).groupBy("media_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "data"))).alias("lent"))
         parts = F.transform("inline", lambda part, k: F.coalesce(part, F.try_element_at("lent", k)))
         return own.unionByName(rest.join(lent, "media_key").select("media_key", parts.alias("parts")))
 
