@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -171,22 +171,28 @@ def rouge_l_bleu(t: Tables) -> DataFrame:
 
 
 #: Texts with tags: three, two or no parts, by turn.
-_TAGGED = """tagged AS (
-  SELECT conv_id, turn, '(' || upper(role) || ') ' || left(text, 40) AS prompt,
-    CASE turn % 3 WHEN 0 THEN '(ANGER) so bad. (JOY) ' || left(text, 30) || ' (NEUTRAL) why ' || turn || '?'
-                  WHEN 1 THEN '(FEAR) oh no (CALM) ' || left(replace(replace(text, '(', ''), ')', ''), 20) || '. Is it ' || turn || '?' ELSE left(text, 50) END AS response
+_BARE = "replace(replace(text, '(', ''), ')', '')"
+_THREE = "'(ANGER) so bad. (JOY) ' || text || ' (NEUTRAL) why ' || turn || '?'"
+_TWO = f"'(FEAR) oh no (CALM) ' || {_BARE} || '. Is it ' || turn || '?'"
+_TAGGED = f"""tagged AS (
+  SELECT conv_id, turn, '(' || upper(role) || ') ' || text AS prompt, CASE turn % 3 WHEN 0 THEN {_THREE} WHEN 1 THEN {_TWO} ELSE text END AS response
   FROM conversations)"""
 
 
-def tagged(t: Tables, whole: bool = True) -> DataFrame:
-    """Tagged prompts and responses of whole texts, or of their starts where the SQL returns these."""
-    text, bare = F.col("text"), F.replace(F.replace("text", F.lit("("), F.lit("")), F.lit(")"), F.lit(""))
-    start = lambda x, n: x if whole else F.left(x, F.lit(n))
-    three = F.concat(F.lit("(ANGER) so bad. (JOY) "), start(text, 30), F.lit(" (NEUTRAL) why "), F.col("turn").cast("string"), F.lit("?"))
-    two = F.concat(F.lit("(FEAR) oh no (CALM) "), start(bare, 20), F.lit(". Is it "), F.col("turn").cast("string"), F.lit("?"))
-    response = F.when(F.col("turn") % 3 == 0, three).when(F.col("turn") % 3 == 1, two).otherwise(start(text, 50))
-    prompt = F.concat(F.lit("("), F.upper("role"), F.lit(") "), start(text, 40))
-    return t.conversations.select("conv_id", "turn", prompt.alias("prompt"), response.alias("response"))
+def three_parts(text: Column) -> Column:
+    return F.concat(F.lit("(ANGER) so bad. (JOY) "), text, F.lit(" (NEUTRAL) why "), F.col("turn").cast("string"), F.lit("?"))
+
+
+def two_parts(text: Column) -> Column:
+    bare = F.replace(F.replace(text, F.lit("("), F.lit("")), F.lit(")"), F.lit(""))
+    return F.concat(F.lit("(FEAR) oh no (CALM) "), bare, F.lit(". Is it "), F.col("turn").cast("string"), F.lit("?"))
+
+
+def tagged(t: Tables) -> DataFrame:
+    """Tagged prompts and responses."""
+    text = F.col("text")
+    response = F.when(F.col("turn") % 3 == 0, three_parts(text)).when(F.col("turn") % 3 == 1, two_parts(text)).otherwise(text)
+    return t.conversations.select("conv_id", "turn", F.concat(F.lit("("), F.upper("role"), F.lit(") "), text).alias("prompt"), response.alias("response"))
 
 
 @query(f"""WITH {_TAGGED} SELECT conv_id, turn, array_to_string(list_concat(regexp_extract_all(response, '\\(.*?\\)'), ['', '', ''])[1:3], '|') AS tags FROM tagged""")
@@ -210,19 +216,18 @@ def mean_tags(t: Tables) -> DataFrame:
     return tagged(t).groupBy("conv_id").agg(F.round(metrics.mean_tags(tagged(t), "response"), 6).alias("mean_tags"))
 
 
-@query(f"""WITH {_TAGGED}, m AS (SELECT * FROM tagged WHERE turn % 3 = 0)
+@query(f"""WITH m AS (SELECT conv_id, turn, {_THREE} AS response FROM conversations)
 SELECT conv_id, turn, '(EMPATHY) so bad. (JOY) ' || trim(regexp_extract(response, '\\(JOY\\)((?s:.*)) \\(NEUTRAL\\)', 1), chr(32) || chr(10)) || ' (QUESTION) why ' || turn || '?' AS rewritten,
   '(USER) so bad. (JOY) ' || trim(regexp_extract(response, '\\(JOY\\)((?s:.*)) \\(NEUTRAL\\)', 1), chr(32) || chr(10)) || ' (NEUTRAL) why ' || turn || '?' AS restored FROM m""")
 def role_tag_rewrite(t: Tables) -> DataFrame:
-    rewritten = X.role_tags(F.col("response"))
-    rows = tagged(t, whole=False).where("turn % 3 = 0").withColumn("rewritten", rewritten)
+    rows = t.conversations.withColumn("rewritten", X.role_tags(three_parts(F.col("text"))))
     return rows.select("conv_id", "turn", "rewritten", X.restore_tags(F.col("rewritten"), F.lit("(USER) hello")).alias("restored"))
 
 
-@query(f"""WITH {_TAGGED}, m AS (SELECT *, trim(regexp_extract(response, '\\(CALM\\)((?s:.*))$', 1), chr(32) || chr(10)) AS tail FROM tagged WHERE turn % 3 = 1)
+@query(f"""WITH m AS (SELECT conv_id, turn, trim({_BARE} || '. Is it ' || turn || '?', chr(32) || chr(10)) AS tail FROM conversations)
 SELECT conv_id, turn, trim(replace('(EMPATHY) oh no (CALM) ' || trim(regexp_extract(tail, '^((?s:.*)[.!?]) ((?s:.*))$', 1), chr(32) || chr(10)) || ' (QUESTION) ' || trim(regexp_extract(tail, '^((?s:.*)[.!?]) ((?s:.*))$', 2), chr(32) || chr(10)), '  ', ' '), chr(32) || chr(10)) AS rewritten FROM m""")
 def role_tag_repair(t: Tables) -> DataFrame:
-    return tagged(t, whole=False).where("turn % 3 = 1").select("conv_id", "turn", X.role_tags(F.col("response")).alias("rewritten"))
+    return t.conversations.select("conv_id", "turn", X.role_tags(two_parts(F.col("text"))).alias("rewritten"))
 
 
 @query(f"WITH {_TAGGED} SELECT conv_id, turn, regexp_extract(prompt, '\\(([^)]*)\\)', 1) AS human, CASE turn % 3 WHEN 0 THEN 'JOY' WHEN 1 THEN 'CALM' END AS chatbot FROM tagged")
@@ -245,10 +250,10 @@ def hh_parse(t: Tables) -> DataFrame:
     return records(t).select("conv_id", history.alias("history"), x["instruction"].alias("instruction"), x["chosen"].alias("chosen"), x["rejected"].alias("rejected"))
 
 
-@query(f"WITH {_MESSAGES} SELECT conv_id, CAST(len(said) - len(said) % 2 AS INTEGER) AS n, said[1].content AS first FROM peeled WHERE len(said) >= 2")
+@query(f"WITH {_MESSAGES} SELECT conv_id, CAST(len(said) - len(said) % 2 AS INTEGER) AS n, array_to_string(list_transform(range(1, len(said) - len(said) % 2 + 1), lambda k: CASE WHEN k % 2 = 1 THEN 'human=' ELSE 'gpt=' END || said[k].content), chr(31)) AS conversation FROM peeled WHERE len(said) >= 2")
 def ultra_chat(t: Tables) -> DataFrame:
     rows = peeled(t).withColumn("x", parse.alternating(F.transform("said", lambda m: m["content"]))).where("x IS NOT NULL")
-    return rows.select("conv_id", F.size("x").alias("n"), F.get("x", F.lit(0))["value"].alias("first"))
+    return rows.select("conv_id", F.size("x").alias("n"), F.array_join(F.transform("x", lambda m: F.concat(m["from"], F.lit("="), m["value"])), "\x1f").alias("conversation"))
 
 
 _BUDGET = f"""lens AS (SELECT conv_id, turn, len({_WORDS.format(x='a')}) AS s, len({_WORDS.format(x='b')}) AS t FROM two)"""
@@ -302,10 +307,10 @@ def mcq_template(t: Tables) -> DataFrame:
     return rows.withColumn("m", m).select("item_id", F.get("m", F.lit(0))["content"].alias("prompt"), F.get("m", F.lit(1))["content"].alias("response"))
 
 
-@query("""SELECT conv_id, turn, 'tool_' || turn AS name, '{"k": ' || turn || '}' AS arguments FROM conversations WHERE turn % 2 = 1""")
+@query("""SELECT conv_id, turn, 'tool_' || turn AS name, '{"k": ' || turn || '}' AS arguments FROM conversations""")
 def tool_extract(t: Tables) -> DataFrame:
     said = F.concat(F.col("text"), F.lit("\nAction: tool_"), F.col("turn").cast("string"), F.lit('\nAction Input: {"k": '), F.col("turn").cast("string"), F.lit("}\n"))
-    rows = t.conversations.where("turn % 2 = 1").select("conv_id", "turn", tools.extract("default", said).alias("x"))
+    rows = t.conversations.select("conv_id", "turn", tools.extract("default", said).alias("x"))
     return rows.select("conv_id", "turn", F.get("x.calls", F.lit(0))["name"].alias("name"), F.get("x.calls", F.lit(0))["arguments"].alias("arguments"))
 
 
