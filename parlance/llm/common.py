@@ -42,6 +42,11 @@ def text_of(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def side(rows: DataFrame) -> DataFrame:
+    """Narrow rows that are kept (checkpointed) as a side of a join: broadcast if they are few enough, so that a key's rows on the other side stay where they are."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in ids (one column named id_col, no nulls).
 
@@ -49,8 +54,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     they are; otherwise both sides are shuffled.  Rows with a null id stay.
     """
     ids = durable(ids.distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)
+    return docs.join(side(ids), id_col, "left_anti").select(*docs.columns)
 
 
 _TABLES: dict = {}

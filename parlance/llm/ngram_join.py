@@ -59,7 +59,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import BROADCAST_IDS, drop_ids, drop_tables, durable, small_batches, spread, text_of
+from parlance.llm.common import drop_ids, drop_tables, durable, side, small_batches, spread, text_of
 from parlance.llm.components import components
 
 #: Words of a shingle; least overlap in hundredths of the union.
@@ -552,14 +552,14 @@ def split_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     part = lambda column, parts: F.pmod(F.xxhash64(F.lit(3), column), parts)
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     sizes = durable(nodes.groupBy("block").agg(F.count("*").alias("nodes"), F.ceil(F.sum("n") / hot).alias("chunks")))
-    placed = nodes.join(sizes, "block").withColumn("i", part("key", F.col("chunks")))
+    placed = nodes.join(side(sizes), "block").withColumn("i", part("key", F.col("chunks")))
     sampled = placed.where(part("key", F.greatest(F.lit(1), F.floor(F.col("nodes") / SAMPLE))) == 0).select("block", "key", "tokens")
     # A block whose sample is empty has no hub, and all its nodes are queries.
     hubs = durable(sampled.groupBy("block").applyInArrow(_hub, "block long, hub long, hub_tokens binary"))
-    sent = hubs.join(sizes, "block").select("block", every("chunks").alias("i"), F.col("hub").alias("key"), F.col("hub_tokens").alias("tokens"), F.lit(True).alias("is_hub"))
+    sent = hubs.join(side(sizes), "block").select("block", every("chunks").alias("i"), F.col("hub").alias("key"), F.col("hub_tokens").alias("tokens"), F.lit(True).alias("is_hub"))
     near = placed.select("block", "i", "key", "tokens", F.lit(False).alias("is_hub")).unionByName(sent)
     near = durable(near.groupBy("block", "i").applyInArrow(_with_hub, "key long, linked boolean"))
-    by_hub = near.where("linked").join(nodes.select("key", "block"), "key").join(hubs.select("block", "hub"), "block").where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    by_hub = near.where("linked").join(nodes.select("key", "block"), "key").join(side(durable(hubs.select("block", "hub"))), "block").where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))
 
     # a link's sizes are in one band or in two neighbouring ones: a band's ends differ by a quarter, as those of a link at most do
     banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)))
@@ -567,8 +567,8 @@ def split_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     asking = asking.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     chunks = banded.groupBy("block", "band").agg(F.ceil(F.sum("n") / hot).alias("chunks"))
     parts = durable(chunks.join(asking.groupBy("block", "band").agg(F.ceil(F.sum("n") / hot).alias("q_chunks")), ["block", "band"]))
-    index = banded.join(parts, ["block", "band"]).select("block", "band", "key", "tokens", F.lit(False).alias("query"), part("key", F.col("chunks")).alias("i"), every("q_chunks").alias("j"))
-    asked = asking.join(parts, ["block", "band"]).select("block", "band", "key", "tokens", F.lit(True).alias("query"), every("chunks").alias("i"), part("key", F.col("q_chunks")).alias("j"))
+    index = banded.join(side(parts), ["block", "band"]).select("block", "band", "key", "tokens", F.lit(False).alias("query"), part("key", F.col("chunks")).alias("i"), every("q_chunks").alias("j"))
+    asked = asking.join(side(parts), ["block", "band"]).select("block", "band", "key", "tokens", F.lit(True).alias("query"), every("chunks").alias("i"), part("key", F.col("q_chunks")).alias("j"))
     found = index.unionByName(asked).groupBy("block", "band", "i", "j").applyInArrow(_block_search, "a long, b long")
     return by_hub.unionByName(found)
 
@@ -580,8 +580,7 @@ def with_sets(docs: DataFrame, nodes: DataFrame, clashing: frozenset[int], bits:
     send nothing.  The nodes are broadcast if they are few enough for that;
     otherwise the documents are shuffled by doc_id.
     """
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    near = F.broadcast if few else (lambda df: df)
+    nodes = side(nodes)
 
     def run(batches):
         hashes = Hashes()
@@ -589,17 +588,17 @@ def with_sets(docs: DataFrame, nodes: DataFrame, clashing: frozenset[int], bits:
             sets = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key_of(x, clashing, bits) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "of", "tokens"])
 
-    chosen = docs.join(near(nodes.select(F.col("least").alias("id"))), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    chosen = docs.join(nodes.select(F.col("least").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of long, tokens binary")
-    return sets.join(near(nodes), (F.col("of") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).drop("doc_id", "of")
+    return sets.join(nodes, (F.col("of") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).drop("doc_id", "of")
 
 
 def shrunk(nodes: DataFrame, hot: int, bucket: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Nodes in blocks of at most hot shingles, and those in larger ones, after cuts of the large blocks; None for no nodes."""
     calm, before = None, None
     for _ in range(CUTS):
-        sizes = nodes.groupBy("block").agg(F.sum("n").alias("shingles"))
-        nodes = durable(nodes.join(sizes, "block"))
+        sizes = durable(nodes.groupBy("block").agg(F.sum("n").alias("shingles")))
+        nodes = durable(nodes.join(side(sizes), "block"))
         small = nodes.where(F.col("shingles") <= hot).drop("shingles")
         calm = small if calm is None else calm.unionByName(small)
         nodes = nodes.where(F.col("shingles") > hot)
@@ -619,11 +618,11 @@ def linked_nodes(docs: DataFrame, keys: DataFrame, slices: DataFrame, clashing:
     edges = text_edges(docs, levels(slices), max(1, total * (100 - PERCENT) // 100 // bucket), clashing, bits)
     nodes = durable(components(edges).withColumnsRenamed({"node": "key", "root": "block"}).join(keys, "key"))
     sizes = durable(nodes.groupBy("block").agg(F.sum("n").alias("shingles")))
-    small, large = sizes.where(F.col("shingles") <= hot), sizes.where(F.col("shingles") > hot)
-    calm = with_sets(docs, durable(nodes.join(small.select("block"), "block")), clashing, bits).select("block", "key", "n", "tokens")
+    small, large = (durable(sizes.where(which).select("block")) for which in (F.col("shingles") <= hot, F.col("shingles") > hot))
+    calm = with_sets(docs, durable(nodes.join(side(small), "block")), clashing, bits).select("block", "key", "n", "tokens")
     crowded = None
     if not large.isEmpty():
-        found = durable(with_sets(docs, durable(nodes.join(large.select("block"), "block")), clashing, bits).select("block", "key", "n", "tokens"))
+        found = durable(with_sets(docs, durable(nodes.join(side(large), "block")), clashing, bits).select("block", "key", "n", "tokens"))
         more, crowded = shrunk(found, hot, bucket)
         calm = calm.unionByName(more)
     groups = total // GROUP + 1
