@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from parlance.functions import providers
 from parlance.functions.text import ratings
 from parlance.operators import judge, parse, reshape, templates
+from parlance.plans.dialogue_queries import _MESSAGES, _PAIRS
 from parlance.plans.registry import Tables, query
 
 
-@query()
+@query(r"""WITH n AS (SELECT role, regexp_replace(text, '[\r\n]+', ' ', 'g') AS line, 3 * (row_number() OVER (ORDER BY conv_id * 100 + turn) - 1) AS first FROM conversations),
+d AS (SELECT *, first + unnest([0, 1, 2]) AS number FROM n)
+SELECT printf('CHATGPT-%06d-0000', number) AS "UID", printf('RLAIFE-%06d', number) AS "DIALOGUE_ID", 'USER' AS "SID", ltrim(line) AS "SEG", 'JOY' AS "EMOTION" FROM d
+UNION ALL SELECT printf('CHATGPT-%06d-0001', number), printf('RLAIFE-%06d', number), 'CHATBOT', role || ' so it is why?', 'CALM|FEAR|NEUTRAL' FROM d""")
 def parse_generations(t: Tables) -> DataFrame:
     """Free texts with three marked dialogues of one turn each, made of conversations, parsed to segments."""
     one_line = F.regexp_replace("text", r"[\r\n]+", " ")
@@ -22,16 +26,19 @@ def parse_generations(t: Tables) -> DataFrame:
 
 
 def rated(t: Tables) -> DataFrame:
-    """Each conversation's messages as ten answers to its first one, rated by two offline judges."""
-    rows = reshape.conversations(t.conversations).select(F.format_string("RLAIFE-%06d", "conv_id").alias("dialogue_id"), reshape.turn_pairs(reshape.peeled(F.col("messages"))).alias("pairs")).where("size(pairs) > 0")
-    first = F.get("pairs", F.lit(0))
+    """Each message that was answered, with ten answers made of its own, and the prompt that asks to rate these."""
+    pairs = reshape.turn_pairs(reshape.peeled(F.col("messages")))
+    rows = reshape.conversations(t.conversations).select("conv_id", F.posexplode(pairs).alias("k", "pair"))
+    rows = rows.select(F.format_string("RLAIFE-%08d", F.col("conv_id") * 100 + F.col("k")).alias("dialogue_id"), "pair")
+    first = F.col("pair")
     answers = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.lit("(EMPATHY) yes (JOY) "), first["assistant"], F.lit(" "), k.cast("string"), F.lit(" (QUESTION) and?")))
     rows = rows.select("dialogue_id", F.concat(F.lit("(FEAR) "), F.replace(first["user"], F.lit("\n"), F.lit(" "))).alias("prompt"), F.transform(answers, lambda a: F.replace(a, F.lit("\n"), F.lit(" "))).alias("answers"))
     history = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(F.lit("(FEAR) a").alias("user"), F.lit("(EMPATHY) b (JOY) c (QUESTION) d?").alias("assistant")))
     return rows.withColumn("rating_prompt", templates.rating_prompt(history, F.col("prompt"), F.col("answers"), F.lit("FEAR"), F.lit("JOY")))
 
 
-@query()
+@query(f"""WITH {_MESSAGES}, {_PAIRS}, p AS (SELECT conv_id * 100 + k AS id, replace(pairs[k + 1].u, chr(10), ' ') AS u, replace(pairs[k + 1].a, chr(10), ' ') AS a FROM (SELECT conv_id, pairs, unnest(range(len(pairs))) AS k FROM turns))
+SELECT printf('RLAIFE-%08d', id) AS dialogue_id, trim('(FEAR) ' || u) AS prompt, 10 AS n, '(FEAR) yes (JOY) ' || a || ' 10 (NEUTRAL) and?' AS last FROM p""")
 def rating_prompt_round_trip(t: Tables) -> DataFrame:
     """Rendered rating prompts, parsed again to prompt and answers."""
     x = parse.rating_prompt(F.col("rating_prompt"))

@@ -201,10 +201,10 @@ def wide_models(t: Tables) -> DataFrame:
     return curate.wide_models(rows, list(_MODELS))
 
 
-@query("SELECT l.doc_id, l.quality, f.event_id, f.event_type FROM labels l JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 97 ORDER BY event_id) = 1) f ON l.doc_id % 97 = f.user_id % 97")
+@query("SELECT l.doc_id, l.quality, f.event_id, f.event_type FROM labels l JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) = 1) f ON l.doc_id % 97 = f.event_id % 97")
 def mandatory_lookup(t: Tables) -> DataFrame:
     """Labels with the first event of their key; a key without one would fail the job."""
-    rows, source = t.labels.withColumn("key", F.col("doc_id") % 97), t.events.select((F.col("user_id") % 97).alias("key"), "event_id", "event_type")
+    rows, source = t.labels.withColumn("key", F.col("doc_id") % 97), t.events.select((F.col("event_id") % 97).alias("key"), "event_id", "event_type")
     return judge.mandatory_lookup(rows, source, "key", "event_id").select("doc_id", "quality", "event_id", "event_type")
 
 
