@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parlance.functions import score, text
 from parlance.functions.text import words
 from parlance.operators import align, curate, encode, metrics, pack, parse, reshape, templates, tools
-from parlance.plans.dialogue_queries import _MESSAGES, _NEXT, _PAIRS, _THREE, adjacent, peeled, records, three_parts
+from parlance.plans.dialogue_queries import _MESSAGES, _NEXT, _PAIRS, _THREE, CHAT, adjacent, messages, peeled, records, three_parts
 from parlance.plans.registry import Tables, query
 
 #: Ids of words that SQL can make too: a word's length, and 10.
@@ -413,3 +413,34 @@ def cleaned_completions(t: Tables) -> DataFrame:
 @query("SELECT conv_id, turn, trim(replace(replace('  ' || text || '   x ', chr(10), ''), '  ', ' '), ' ') AS cleaned FROM conversations")
 def cleaned_names(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", text.clean(F.concat(F.lit("  "), F.col("text"), F.lit("   x "))).alias("cleaned"))
+
+
+#: (prefix, system, user, assistant) of some formats, written out, where the end of text is </s> and its start <s>.
+_FORMATS = {
+    "deepseek": ("<s>", "{x}\n\n", "User: {x}\n\nAssistant:", "{x}</s>"),
+    "phi": ("", "<|system|>\n{x}<|end|>\n", "<|user|>\n{x}<|end|>\n<|assistant|>\n", "{x}<|end|>\n"),
+    "llama3": ("<s>", "<|start_header_id|>system<|end_header_id|>\n\n{x}<|eot_id|>", "<|start_header_id|>user<|end_header_id|>\n\n{x}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "{x}<|eot_id|>"),
+    "exaone": ("", "[|system|]{x}[|endofturn|]\n", "[|user|]{x}\n[|assistant|]", "{x}</s>\n"),
+    "granite3": ("", "<|start_of_role|>system<|end_of_role|>{x}<|end_of_text|>\n", "<|start_of_role|>user<|end_of_role|>{x}<|end_of_text|>\n<|start_of_role|>assistant<|end_of_role|>", "{x}<|end_of_text|>\n"),
+    "cpm3": ("<s>", "<|im_start|>system\n{x}<|im_end|>\n", "<|im_start|>user\n{x}<|im_end|>\n<|im_start|>assistant\n", "{x}<|im_end|>\n"),
+    "solar": ("", "### System:\n{x}\n\n", "### User:\n{x}\n\n### Assistant:\n", "{x}</s>"),
+    "openchat": ("<s>", "{x}", "GPT4 Correct User: {x}</s>GPT4 Correct Assistant:", "{x}</s>"),
+}
+
+
+def _formatted(format_: str, x: str) -> str:
+    return f"replace({_lit(format_)}, '{{x}}', {x})"
+
+
+@query(f"WITH {_MESSAGES} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS template, conv_id, {_lit(p)} || CASE WHEN system = '' THEN '' ELSE {_formatted(s, 'system')} END || array_to_string(list_transform(said, lambda m: CASE WHEN m.role = 'user' THEN {_formatted(u, 'm.content')} ELSE {_formatted(a, 'm.content')} END), '') AS rendered FROM aligned WHERE NOT broken"
+    for name, (p, s, u, a) in _FORMATS.items()))
+def chat_templates(t: Tables) -> DataFrame:
+    """Conversations in eight formats."""
+    rows = align.well_formed(align.from_messages(messages(t), CHAT, ["conv_id"]), "sft")
+    out = None
+    for name in _FORMATS:
+        said = templates.render(templates.TEMPLATES[name], F.concat("_prompt", "_response"), F.col("_system"))
+        x = rows.select(F.lit(name).alias("template"), "conv_id", F.array_join(said, "").alias("rendered"))
+        out = x if out is None else out.unionByName(x)
+    return out
