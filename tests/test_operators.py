@@ -1,6 +1,7 @@
 """Operators over small tables."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,3 +324,51 @@ def test_reshaping(spark):
     rows = spark.createDataFrame([(7, ["hi", "yo"], [4, 0])], "id int, dialog array<string>, emotion array<int>")
     got = reshape.daily_segments(rows).orderBy("turn").collect()
     assert [(r["UID"], r["SID"], r["EMOTION"]) for r in got] == [("DAILYD-000007-0000", "A", "happiness"), ("DAILYD-000007-0001", "B", "neutral")]
+
+
+def test_long_series_are_smoothed_in_parts(spark):
+    rows = [(g, k, float((k * 37) % 11)) for g, n in (("a", 300), ("b", 7), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, v double").repartition(5)
+    want = {}
+    for g in "abc":
+        series = [v for h, _, v in rows if h == g]
+        weight, last = 1.8 * (1 / (1 + math.exp(-0.05 * len(series))) - 0.5), series[0]
+        for k, v in enumerate(series):
+            last = want[g, k] = last * weight + (1 - weight) * v
+    for part in (1024, 16, 1):
+        got = {(r["g"], r["k"]): r["smoothed"] for r in metrics.smoothed(df, ["g"], "k", "v", part).collect()}
+        assert got == {at: pytest.approx(x) for at, x in want.items()}
+
+
+def test_running_means_of_groups_with_null(spark):
+    df = spark.createDataFrame([(g, k, float(k % 5), 1 + k % 3) for g in ("a", None) for k in range(40)], "g string, k long, v double, n int").repartition(3)
+    got = {(r["g"], r["k"]): r["running"] for r in metrics.running_mean(df, ["g"], "k", "v", "n").collect()}
+    for g in ("a", None):
+        top = low = 0.0
+        for k in range(40):
+            top, low = top + (k % 5) * (1 + k % 3), low + 1 + k % 3
+            assert got[g, k] == pytest.approx(top / low)
+
+
+def test_arrow_folders(spark, tmp_path):
+    import pyarrow as pa
+
+    for k in range(2):
+        table = pa.table({"id": [k * 2, k * 2 + 1], "x": ["a", None]})
+        with pa.OSFile(f"{tmp_path}/{k}.arrow", "wb") as out, (pa.ipc.new_stream if k else pa.ipc.new_file)(out, table.schema) as writer:
+            writer.write_table(table)
+    got = scan.read_any(spark, str(tmp_path))
+    assert got.columns == ["id", "x"] and sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3]
+
+
+def test_stages_of_preference_training_and_pretraining(spark, tmp_path):
+    rows = [{"instruction": "q", "input": "", "output": "o", "good": "g", "bad": "b"}, {"instruction": "q2", "input": "", "output": "o", "good": "g", "bad": None}]
+    (tmp_path / "d.json").write_text(json.dumps(rows))
+    plain = {"prompt": "instruction", "query": "input", "response": "output"}
+    info = {"plain": {"file_name": "d.json", "columns": plain}, "ranked": {"file_name": "d.json", "ranking": True, "columns": {**plain, "chosen": "good", "rejected": "bad"}}}
+    (tmp_path / registry.CONFIG).write_text(json.dumps(info))
+    assert registry.aligned(spark, ["plain"], str(tmp_path), "pt").count() == 2
+    assert registry.aligned(spark, ["ranked"], str(tmp_path), "dpo").count() == 1
+    for name, stage in (("plain", "dpo"), ("ranked", "pt"), ("plain", "other")):
+        with pytest.raises(ValueError):
+            registry.aligned(spark, [name], str(tmp_path), stage)
