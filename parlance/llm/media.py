@@ -199,7 +199,7 @@ class Store:
         rest = files.where(borrows)
         # only the places of borrowed chunks meet the chunk table, and they come back to their file
         asked = rest.select("media_key", F.posexplode(F.arrays_zip(digests_of("chunk_list").alias("digest"), "inline")).alias("pos", "c"))
-        asked = asked.where("c.inline IS NULL").select("media_key", "pos", F.col("c.digest").alias("digest"))
+        asked = durable(asked.where("c.inline IS NULL").select("media_key", "pos", F.col("c.digest").alias("digest")))
         # a chunk that one in HOT_SHARE of all places borrows is one of fewer than HOT_SHARE, of MOST bytes each: these are broadcast
         times = durable(asked.groupBy("digest").agg(F.count("*").alias("n")))
         hot = times.where(F.col("n") > (times.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE).select("digest")
